@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import canonical, mojibake, termcounts, vocabulary
+from palimpsest.llm import canonical, mojibake, spans, termcounts, vocabulary
 from palimpsest.plans.lineage import shared_dir
 from palimpsest.sources.tables import load
 
@@ -107,3 +107,36 @@ marked AS (SELECT field, term, occurrences, records, CASE WHEN records > bound T
 """
 ORACLES["p5_found"] = _P5 + "SELECT field, term, mark FROM marked WHERE mark IS NOT NULL"
 ORACLES["p5_counts"] = _P5 + "SELECT field, term, occurrences, records, mark FROM marked"
+
+
+def _span_values(spark: SparkSession, d: str) -> DataFrame:
+    """(rec, owner, key, text) of the sound gold fields and all page lines; written once, as several stages read it."""
+    gold = load(spark, d, "gold", "gold_id", "volume", "page", "work", "passage_no", "text", "lemma")
+    words = [w for _, w, _ in clean_words(spark, d)]
+    sound = mojibake.repair_fields(mojibake.gold_fields(gold), words).where("not garbled").select("gold_id", "text")
+    owner = lambda tbl, *cols: F.concat_ws("\x1f", F.lit(tbl), *(F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in cols))
+    named = gold.select("gold_id", owner("gold", "volume", "page", "work", "passage_no").alias("owner"))
+    passages = sound.join(named, "gold_id").select(F.concat(F.lit("gold:"), "gold_id").alias("rec"), "owner", "text")
+    lines = load(spark, d, "page_lines", "line_id", "volume", "page", "line_no", "text").where("text is not null")
+    rows = lines.select(F.concat(F.lit("page_lines:"), "line_id").alias("rec"), owner("page_lines", "volume", "page", "line_no").alias("owner"), "text")
+    path = scratch(spark, "spans")
+    passages.unionByName(rows).withColumn("key", F.md5("text")).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+@query
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of records that share a span of at least 50 code points: gold is history, page lines the new batch."""
+    values = _span_values(spark, d)
+    index = spans.FingerprintIndex(spark, scratch(spark, "index"))
+    is_gold = F.col("rec").startswith("gold:")
+    texts = values.groupBy("key").agg(F.first("text").alias("text"), F.max(is_gold).alias("old"))
+    matches = index.append(texts.where("old")).unionByName(index.append(texts.where("not old")))
+    pairs = spans.verified(matches, texts.select("key", "text"))
+    return spans.record_pairs(values, pairs)
+
+
+@query
+def p4_shares(spark: SparkSession, d: str) -> DataFrame:
+    """For each record, how much of its text also stands elsewhere."""
+    return spans.shares(_span_values(spark, d))
