@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import canonical, mojibake, spans, termcounts, vocabulary
+from palimpsest.llm import canonical, leaks, mixing, mojibake, spans, termcounts, vocabulary
 from palimpsest.plans.lineage import shared_dir
 from palimpsest.sources.tables import load
 
@@ -140,3 +140,41 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 def p4_shares(spark: SparkSession, d: str) -> DataFrame:
     """For each record, how much of its text also stands elsewhere."""
     return spans.shares(_span_values(spark, d))
+
+
+def _leaks(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.leaks(load(spark, d, "documents", "doc_id", "text"), load(spark, d, "eval_items", "item_id", "text"))
+
+
+@query
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that hold 13 consecutive words of an evaluation item."""
+    return _leaks(spark, d)
+
+
+@query
+def p7_items(spark: SparkSession, d: str) -> DataFrame:
+    """Every evaluation item with the number of documents it leaked into."""
+    counts = _leaks(spark, d).groupBy("item_id").agg(F.count("*").alias("documents"))
+    items = load(spark, d, "eval_items", "item_id", "lang")
+    return items.join(counts, "item_id", "left").select("item_id", "lang", F.coalesce("documents", F.lit(0)).alias("documents"))
+
+
+def _mixture(spark: SparkSession, d: str) -> DataFrame:
+    targets = load(spark, d, "mix_targets", "source", "target_share", "max_repeats")
+    docs = load(spark, d, "documents", "doc_id", "source", "text").join(targets.select("source"), "source", "left_semi")
+    path = scratch(spark, "sized")
+    docs.select("doc_id", "source", mixing.count_tokens()("text").alias("tokens")).write.parquet(path)
+    return mixing.mixture(spark.read.parquet(path), targets)
+
+
+@query
+def p8_mixture(spark: SparkSession, d: str) -> DataFrame:
+    """The chosen document copies in their queue order."""
+    return _mixture(spark, d)
+
+
+@query
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Target and actual share of every listed source."""
+    return mixing.shares(_mixture(spark, d), load(spark, d, "mix_targets", "source", "target_share", "max_repeats"))
