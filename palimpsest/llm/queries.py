@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import canonical, leaks, mixing, mojibake, spans, termcounts, vocabulary
+from palimpsest.llm import canonical, leaks, mixing, mojibake, quality, spans, termcounts, vocabulary
 from palimpsest.plans.lineage import shared_dir
 from palimpsest.sources.tables import load
 
@@ -178,3 +178,22 @@ def p8_mixture(spark: SparkSession, d: str) -> DataFrame:
 def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     """Target and actual share of every listed source."""
     return mixing.shares(_mixture(spark, d), load(spark, d, "mix_targets", "source", "target_share", "max_repeats"))
+
+
+def _verdicts(spark: SparkSession, d: str) -> DataFrame:
+    common = [r[0] for r in load(spark, d, "common_words", "word").where("word is not null").distinct().limit(10_001).collect()]
+    if len(common) > 10_000:
+        raise ValueError("function word lists are short; this one holds more than 10,000 words")
+    return quality.verdicts(load(spark, d, "documents", "doc_id", "text"), load(spark, d, "doc_labels", "doc_id", "label"), common)
+
+
+@query
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that are for more than half no running text."""
+    return _verdicts(spark, d).where("verdict != 'prose'").select("doc_id", F.col("verdict").alias("kind"))
+
+
+@query
+def p9_figures(spark: SparkSession, d: str) -> DataFrame:
+    """Quality figures and verdict of every document."""
+    return _verdicts(spark, d)
