@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import canonical, leaks, mixing, mojibake, quality, spans, termcounts, vocabulary
+from palimpsest.llm import canonical, leaks, mixing, mojibake, quality, scans, spans, termcounts, vocabulary
 from palimpsest.plans.lineage import shared_dir
 from palimpsest.sources.tables import load
 
@@ -197,3 +197,24 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 def p9_figures(spark: SparkSession, d: str) -> DataFrame:
     """Quality figures and verdict of every document."""
     return _verdicts(spark, d)
+
+
+def _scan_noise(spark: SparkSession, d: str) -> DataFrame:
+    corpus = load(spark, d, "corpus", "lang", "text")
+    tokens = load(spark, d, "tokens", "token_id", "volume", "page", "pos", "text", "nl")
+    lines = load(spark, d, "page_lines", "line_id", "volume", "page", "line_no", "zone", "text")
+    addenda = load(spark, d, "addenda_munich", "addenda_id", "text")
+    words = [(w, n) for _, w, n in clean_words(spark, d)]
+    return scans.scan_noise(tokens, lines, addenda, words, scans.corpus_pairs(corpus), spark)
+
+
+@query
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Every text value with each kind of noise in it."""
+    return _scan_noise(spark, d).select("tbl", "elem", F.explode("noise").alias("x")).select("tbl", "x.row_id", "elem", "x.kind")
+
+
+@query
+def p2_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Reflowed text of every page and every addenda paragraph, without furniture, breaks and misreadings."""
+    return _scan_noise(spark, d).select("tbl", "volume", "page", "unit", "elem", "text")
