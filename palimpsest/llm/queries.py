@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import canonical, leaks, mixing, mojibake, quality, scans, spans, termcounts, vocabulary
+from palimpsest.llm import canonical, leaks, mixing, mojibake, quality, scans, sentences, spans, termcounts, vocabulary
 from palimpsest.plans.lineage import shared_dir
 from palimpsest.sources.tables import load
 
@@ -218,3 +218,26 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 def p2_pages(spark: SparkSession, d: str) -> DataFrame:
     """Reflowed text of every page and every addenda paragraph, without furniture, breaks and misreadings."""
     return _scan_noise(spark, d).select("tbl", "volume", "page", "unit", "elem", "text")
+
+
+def _sentence_ends(spark: SparkSession, d: str) -> DataFrame:
+    words = [(r[0], r[1]) for r in load(spark, d, "common_words", "lang", "word").where("word is not null").limit(10_001).collect()]
+    if len(words) > 10_000:
+        raise ValueError("function word lists are short; this one holds more than 10,000 words")
+    lines = load(spark, d, "page_lines", "line_id", "volume", "page", "line_no", "zone", "text")
+    return sentences.sentence_ends(load(spark, d, "addenda_munich", "addenda_id", "text"), lines, words)
+
+
+@query
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """Every sentence end."""
+    return _sentence_ends(spark, d)
+
+
+@query
+def p6_sentences(spark: SparkSession, d: str) -> DataFrame:
+    """Sentence units of every addenda paragraph: from one end to the next."""
+    cut = _sentence_ends(spark, d).where("tbl = 'addenda_munich'").groupBy("row_id", "elem").agg(F.array_sort(F.collect_set("end_at")).alias("e"))
+    texts = load(spark, d, "addenda_munich", "addenda_id", "text").select(F.col("addenda_id").alias("row_id"), F.posexplode("text").alias("elem", "text")).where("text is not null")
+    spans_ = F.expr("transform(e, (x, i) -> trim(both ' \\n' from substring(text, if(i = 0, 0, e[i - 1]) + 1, x - if(i = 0, 0, e[i - 1]))))")
+    return texts.join(cut, ["row_id", "elem"]).select("row_id", "elem", F.posexplode(spans_).alias("sentence_no", "sentence"))
