@@ -18,9 +18,11 @@ from __future__ import annotations
 import base64
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from palimpsest.operators.windows import running_sum, slot_of_hash
+
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 BUCKETS = 512
@@ -43,20 +45,6 @@ def count_tokens(path: str = TOKENIZER, pattern: str = PATTERN):
     return run
 
 
-def running_sum(frame: DataFrame, group: list[str], bucket: str, order: list[str], value: str, name: str) -> DataFrame:
-    """`frame` with the sum of `value` up to each row in the order of (`bucket`, `order`) within `group`."""
-    sums = frame.groupBy(*group, bucket).agg(F.sum(value).alias("_own"))
-    whole = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
-    before = sums.withColumn("_before", F.coalesce(F.sum("_own").over(whole.orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_own")
-    inside = Window.partitionBy(*group, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return frame.withColumn("_inside", F.sum(value).over(inside)).join(before, [*group, bucket]).withColumn(name, F.col("_inside") + F.col("_before")).drop("_inside", "_before")
-
-
-def _slot(key: Column, buckets: int) -> Column:
-    """Bucket of a 64-bit shuffle key that keeps its order."""
-    return F.floor((key.cast("double") + 2.0**63) / 2.0**64 * buckets).cast("int")
-
-
 def mixture(sized: DataFrame, targets: DataFrame, budget: int | None = None, seed: int = 7, buckets: int = BUCKETS) -> DataFrame:
     """(source, doc_id, copy, tokens, finish): the chosen copies of `sized`(doc_id, source, tokens).
 
@@ -71,7 +59,7 @@ def mixture(sized: DataFrame, targets: DataFrame, budget: int | None = None, see
     budget = sum(r["total"] for r in totals) if budget is None else budget
     until = _virtual_end([(r["weight"], r["total"] * r["max_repeats"]) for r in totals], budget)
     until += max(r["most"] for r in totals) / min(r["weight"] for r in totals)
-    shuffled = docs.withColumn("key", F.xxhash64("doc_id", F.lit(seed))).withColumn("slot", _slot(F.col("key"), buckets))
+    shuffled = docs.withColumn("key", F.xxhash64("doc_id", F.lit(seed))).withColumn("slot", slot_of_hash(F.col("key"), buckets))
     lined = running_sum(shuffled, ["source"], "slot", ["key", "doc_id"], "tokens", "served")
     whole = sized.sparkSession.createDataFrame([(r["source"], r["total"]) for r in totals], "source string, total long")
     copies = lined.join(whole, "source").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("max_repeats").cast("int"))))
