@@ -49,7 +49,8 @@ def _to_bytes(codec: str) -> dict[int, str]:
 
     class Table(dict):
         def __missing__(self, point: int) -> str:
-            return chr(point) if point < 0x80 else "Ā"
+            value = self[point] = chr(point) if point < 0x80 else "Ā"
+            return value
 
     table = Table({ord(c): chr(b) for c, b in _table(codec).items()})
     table[0] = "Ā"
@@ -69,6 +70,15 @@ _PLAIN = re.compile("[֐-ײ״\x00-\x7f–—“”„«»…‘’‎‏]*")
 _WORDLIKE = re.compile(r"[^\W\d_]")
 
 
+@lru_cache(maxsize=None)
+def _suspect(codec: str) -> re.Pattern:
+    """A character of a lead byte before one of a following byte, in a code page's own characters."""
+    table = _table(codec)
+    lead = "".join(re.escape(c) for c, b in table.items() if 0xC2 <= b <= 0xF3)
+    tail = "".join(re.escape(c) for c, b in table.items() if b < 0xC0)
+    return re.compile(f"[{lead}][{tail}]")
+
+
 def _decode_span(span: str) -> str:
     out = []
     for unit in _UNIT.findall(span):
@@ -117,6 +127,8 @@ def undo_multibyte(text: str) -> tuple[str, bool]:
     for _ in range(6):
         best: tuple[int, list[tuple[int, int, str]]] = (0, [])
         for codec in MULTIBYTE_VIEWS:
+            if not _suspect(codec).search(text):
+                continue
             as_bytes = text.translate(_to_bytes(codec))
             if len(as_bytes) != len(text):
                 continue
