@@ -19,11 +19,13 @@ def is_damaged(c: Column | str) -> Column:
 
 
 def grams(c: Column | str, n: int) -> Column:
-    """T4: distinct character n-grams; built from one array of characters, so linear in the text."""
-    chars = F.split(normal._col(c), "")
-    size = F.size(chars)
-    starts = F.when(size >= n, F.sequence(F.lit(0), size - n)).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice(chars, i + 1, n), "")))
+    """T4: distinct character n-grams; the array of characters is bound once, so linear in the text."""
+
+    def of(chars: Column) -> Column:
+        starts = F.when(F.size(chars) >= n, F.sequence(F.lit(0), F.size(chars) - n)).otherwise(F.array().cast("array<int>"))
+        return F.array_distinct(F.transform(starts, lambda i: F.concat(*(F.get(chars, i + k) for k in range(n)))))
+
+    return F.transform(F.array(F.split(normal._col(c), "")), of)[0]
 
 
 def spans(frame: DataFrame, key: str, text: str) -> DataFrame:

@@ -12,9 +12,9 @@ FLOOR, STRONG, DOMINANCE = 2, 10, 8
 
 def confusions(pairs: DataFrame, floor: int = FLOOR) -> DataFrame:
     """(a, b, n): letter a read for b, from `pairs`(read, true) of one length that differ in one place."""
-    places = F.filter(F.zip_with(F.split("read", ""), F.split("true", ""), lambda x, y: F.struct(x.alias("a"), y.alias("b"))), lambda s: s["a"] != s["b"])
-    single = pairs.where("length(read) = length(true)").select(places.alias("d")).where("size(d) = 1")
-    return single.groupBy(F.col("d")[0]["a"].alias("a"), F.col("d")[0]["b"].alias("b")).agg(F.count("*").alias("n")).where(F.col("n") >= floor)
+    places = F.filter(F.zip_with(F.split(F.col("read"), ""), F.split(F.col("true"), ""), lambda x, y: F.struct(x.alias("a"), y.alias("b"))), lambda s: s["a"] != s["b"])
+    single = pairs.where(F.length("read") == F.length("true")).select(places.alias("d")).where("size(d) = 1").select(F.get("d", F.lit(0)).alias("p"))
+    return single.groupBy(F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(F.count("*").alias("n")).where(F.col("n") >= floor)
 
 
 def variants(words: DataFrame, table: DataFrame, depth: int = 1) -> DataFrame:

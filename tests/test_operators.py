@@ -1,0 +1,174 @@
+"""Sequential operators against brute force, and the edge cases of the native ones."""
+
+from functools import lru_cache
+from itertools import product
+
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from palimpsest.functions import normal, tokens
+from palimpsest.operators import alignment, quotation, repair, search, similarity, spans, windows, witness
+from palimpsest.sources import sinks, transcript
+
+WORDS = st.lists(st.sampled_from(["אב", "אג", "בד", "גגג", "ה"]), max_size=7)
+
+
+def cost(a, b, pairs):
+    total = 0
+    for i, j in pairs:
+        if i is None or j is None:
+            total -= 1
+        else:
+            x, y = alignment.bare(a[i]), alignment.bare(b[j])
+            total += 2 if x == y else 1 if alignment.one_apart(x, y) else -1
+    return total
+
+
+@settings(max_examples=60, deadline=None)
+@given(WORDS, WORDS)
+def test_alignment_is_optimal_and_whole(a, b):
+    pairs = alignment.align(a, b)
+    assert [i for i, _ in pairs if i is not None] == list(range(len(a)))
+    assert [j for _, j in pairs if j is not None] == list(range(len(b)))
+
+    @lru_cache(maxsize=None)
+    def best(i, j):
+        if not i or not j:
+            return -(i + j)
+        x, y = alignment.bare(a[i - 1]), alignment.bare(b[j - 1])
+        step = 2 if x == y else 1 if alignment.one_apart(x, y) else -1
+        return max(best(i - 1, j - 1) + step, best(i - 1, j) - 1, best(i, j - 1) - 1)
+
+    assert cost(a, b, pairs) == best(len(a), len(b))
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 4), min_size=3, max_size=3), min_size=1, max_size=4))
+def test_monotone_assignment(scores):
+    path = alignment.monotone_pages(scores)
+    assert path == sorted(path)
+    most = max(sum(r[j] for r, j in zip(scores, p)) for p in product(range(3), repeat=len(scores)) if list(p) == sorted(p))
+    assert sum(r[j] for r, j in zip(scores, path)) == most
+    chosen = alignment.sparse_assignment([[float(x) for x in r] for r in scores], 1.0)
+    assert all(a[0] < b[0] and a[1] < b[1] for a, b in zip(chosen, chosen[1:]))
+
+
+def test_empty_alignment():
+    assert alignment.align([], []) == [] and alignment.monotone_pages([]) == [] and alignment.sparse_assignment([], 1.0) == [] and alignment.numbered_chain([], {}) == []
+    assert alignment.numbered_chain([1, 2, 5, 30, 1, 2], {1: 76, 2: 48})[-1] == (5, 2)
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 6), st.integers(0, 6)), max_size=8))
+def test_increasing_chain(pairs):
+    chain = similarity.increasing(pairs)
+    assert all(a[0] < b[0] and a[1] < b[1] for a, b in zip(chain, chain[1:]))
+
+    def longest(last, rest):
+        return max([1 + longest(p, rest) for p in rest if last is None or (p[0] > last[0] and p[1] > last[1])], default=0)
+
+    assert len(chain) == longest(None, sorted(set(pairs)))
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sampled_from("abc"), max_size=4), st.lists(st.sampled_from("abcd"), max_size=9))
+def test_presence(want, hay):
+    from collections import Counter
+
+    n = len(want)
+    expected = max((sum((Counter(want) & Counter(hay[i : i + n])).values()) / n for i in range(len(hay) - n + 1)), default=0.0) if n else 0.0
+    assert similarity.best_window(want, hay) == expected
+
+
+def test_weighted_similarity():
+    assert similarity.weighted_similarity("דג", "דג") == 1.0
+    assert abs(similarity.weighted_similarity("ד", "ר") - 0.65) < 1e-9
+    assert similarity.weighted_similarity(None, "א") == 0.0
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text("אבג. ", max_size=40), st.text("אבג. ", max_size=40))
+def test_quotations_are_verbatim_and_disjoint(comment, base):
+    found = quotation.runs(comment, base)
+    for a, b, c, d in found:
+        x, y = quotation.letters(comment[a:b])[0], quotation.letters(base[c:d])[0]
+        assert x == y and len(x) >= quotation.LEAST
+    assert all(p[1] <= q[0] for p, q in zip(found, found[1:]))
+    kept = quotation.disjoint(found)
+    assert all(p[3] <= q[2] or q[3] <= p[2] for i, p in enumerate(kept) for q in kept[i + 1 :])
+
+
+def test_quotation_length():
+    text = "אבגדהוזחטיכ"
+    assert quotation.runs(text, text) == []
+    assert quotation.runs(text + "ל", text + "ל") == [(0, 12, 0, 12)]
+    assert quotation.runs(None, "") == []
+
+
+def test_spans_nest_only_in_quotations():
+    assert spans.resolved([(0, 10, "q", 0), (2, 5, "x", 1), (8, 12, "x", 2)]) == [(0, 10, "q", 0), (2, 5, "x", 1)]
+    assert spans.resolved([(0, 5, "note", 0), (0, 5, "x", 1)]) == [(0, 5, "x", 1)]
+
+
+def test_normalisation_edges(spark):
+    rows = [(1, "שלוֹם"), (2, ""), (3, None), (4, "ר׳ל א׳ב׳ג"), (5, 'ה"חכמים ר"ל')]
+    frame = spark.createDataFrame(rows, "id int, text string")
+    out = {r["id"]: r for r in frame.select("id", normal.fold("text").alias("f"), normal.bare("text").alias("b"), tokens.words("text").alias("w"), normal.reduced("text").alias("r"), tokens.grams("text", 3).alias("g")).collect()}
+    assert out[1]["b"] == "שלומ" and out[2]["f"] == "" and out[3]["f"] is None and out[3]["w"] is None
+    assert out[4]["f"] == "ר״ל א״ב״ג" and out[5]["w"] == ["ה", "חכמים", 'ר"ל']
+    assert out[2]["g"] == [] and out[1]["r"]["letters"] == "שלומ"
+    nums = spark.range(0, 101).select("id", normal.numeral("id").alias("n"))
+    back = {r["id"]: r["v"] for r in nums.select("id", normal.gematria("n").alias("v")).collect()}
+    assert back[0] is None and back[100] is None and back[76] == 76 and back[15] == 15
+
+
+def test_votes_and_reasons(spark):
+    rows = [(1, 0, "דור", "eye", True), (1, 1, "דוד", "layer", True), (1, 2, "דוד", "tesseract", True), (2, 0, "אב", "eye", False), (3, 0, "אב", "eye", True), (3, 1, "אב", "layer", True), (4, 0, "גמל", "eye", False), (4, 1, "שמש", "layer", True)]
+    readings = spark.createDataFrame(rows, "token int, n int, form string, witness string, attested boolean")
+    assert {r["token"]: (r["form"], r["why"]) for r in witness.decisions(readings).collect()} == {1: ("דור", "seen"), 2: ("אב", "doubt"), 3: ("אב", "agree"), 4: ("שמש", "lex")}
+    assert witness.votes(readings.limit(0)).count() == 0
+
+
+def test_confusions_and_repair(spark):
+    pairs = spark.createDataFrame([("אב", "אכ")] * 3 + [("א", "אב"), ("גד", "גד"), (None, "א")], "read string, true string")
+    table = repair.confusions(pairs)
+    assert [tuple(r) for r in table.collect()] == [("ב", "כ", 3)]
+    words = spark.createDataFrame([("בב",)], "word string")
+    assert {r["variant"] for r in repair.variants(words, table, 2).collect()} == {"כב", "בכ", "ככ"}
+    lex = spark.createDataFrame([("ככ", 5)], "word string, n int")
+    assert [tuple(r)[:2] for r in repair.fixed_point(words, table, lex.select("word"), lex).collect()] == [("בב", "ככ")]
+
+
+def test_intervals_and_sums(spark):
+    frame = spark.createDataFrame([("a", 0, 3), ("a", 3, 5), ("a", 7, 8), ("b", 1, 2), ("a", 1, 2)], "k string, s int, e int")
+    assert sorted(map(tuple, windows.merged_intervals(frame, ["k"], "s", "e").collect())) == [("a", 0, 5), ("a", 7, 8), ("b", 1, 2)]
+    assert windows.merged_intervals(frame.limit(0), ["k"], "s", "e").count() == 0
+    numbers = spark.range(1, 1001).withColumn("slot", F.floor(F.col("id") / 37))
+    assert windows.running_sum(numbers, [], "slot", ["id"], "id", "total").where("total != id * (id + 1) / 2").count() == 0
+    ranges = spark.createDataFrame([("a", 0, 10, 1), ("a", 10, 5000, 2)], "k string, s int, e int, page int")
+    points = spark.createDataFrame([("a", 0), ("a", 9), ("a", 10), ("a", 4999), ("a", 5000)], "k string, at int")
+    assert sorted((r["at"], r["page"]) for r in windows.point_in_range(points, ranges, ["k"], "at", "s", "e", 64).collect()) == [(0, 1), (9, 1), (10, 2), (4999, 2)]
+
+
+def test_search(spark):
+    frame = spark.createDataFrame([(1, "אאאא"), (2, None), (3, "אבא אבא")], "id int, text string")
+    assert [(r["id"], r["at"]) for r in search.occurrences(frame, ["id"], "text", "אא").collect()] == [(1, 0), (1, 2)]
+    assert search.occurrences(frame, ["id"], "text", "א").count() == 0
+
+
+def test_transcript_round_trip(spark, tmp_path):
+    lines = spark.createDataFrame([("V", 1, 1, "א"), ("V", 1, 2, "ב"), ("V", 2, 1, "ג"), ("V", 2, 2, None)], "volume string, page int, line_no int, text string")
+    text = "\n".join(r["value"] for r in sinks.transcript_pages(lines).orderBy("page").collect())
+    back = transcript.transcript(spark.createDataFrame([(text,)], "value string")).orderBy("page").collect()
+    assert [(r["page"], r["body"], r["start_at"]) for r in back] == [(1, "א\nב", 0), (2, "ג", 3)]
+    page = spark.createDataFrame([(sinks.data_page({"א": 1}, "t"),), ("<p>",)], "html string")
+    assert [r[0] for r in page.select(transcript.data_island("html")).collect()] == ['{"א": 1}', None]
+    assert transcript.optional_reading(spark, str(tmp_path / "none.json")).count() == 0
+    assert transcript.corpus(spark, {"w": str(tmp_path / "none.json")}).count() == 0
+    (tmp_path / "c.json").write_text('{"ch:1:1": ["a", "b"]}')
+    assert transcript.corpus(spark, {"w": str(tmp_path / "c.json")}).count() == 2
+    eyes = spark.createDataFrame([("[5]\nא ⟪ב⟫ ⟪ב⟫",)], "value string")
+    assert transcript.eye_readings(eyes).select("hedged", "body").first() == (["ב"], "א ב ב")
+    volume = spark.createDataFrame([("# T\n\n> n\n\n## p\n\ntext",)], "value string")
+    assert [r["kind"] for r in transcript.markdown_volume(volume).orderBy("n").collect()] == ["title", "note", "page", "paragraph"]
