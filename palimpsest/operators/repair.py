@@ -43,7 +43,7 @@ def splits(words: DataFrame, seams: DataFrame, attested_forms: DataFrame) -> Dat
     return sound.groupBy("word").agg(F.count("*").alias("n"), F.min("left").alias("left"), F.min("right").alias("right")).where("n = 1").drop("n")
 
 
-def fixed_point(words: DataFrame, table: DataFrame, attested_forms: DataFrame, frequencies: DataFrame, rounds: int = 2) -> DataFrame:
+def fixed_point(words: DataFrame, table: DataFrame, attested_forms: DataFrame, frequencies: DataFrame, rounds: int = 2, depth: int = 2) -> DataFrame:
     """(word, fixed, round): repairs of `words`, the table learned anew from each round's repairs.
 
     Lineage is cut each round in the shared folder; a round without repairs ends it.
@@ -51,7 +51,7 @@ def fixed_point(words: DataFrame, table: DataFrame, attested_forms: DataFrame, f
     out = None
     left, learned = words.select("word").distinct(), table
     for k in range(1, rounds + 1):
-        candidates = variants(left, learned, k).join(attested_forms.select(F.col("word").alias("variant")), "variant", "left_semi")
+        candidates = variants(left, learned, depth).join(attested_forms.select(F.col("word").alias("variant")), "variant", "left_semi")
         done = cut(picked(candidates, frequencies).withColumn("round", F.lit(k)))
         if done.isEmpty():
             return out if out is not None else done
