@@ -123,7 +123,7 @@ def furniture(texts: list[str], edge_only: bool = True) -> list[str]:
     """`header`, `page_no` or `` for each line of a page (`edge_only`) or of a paragraph that keeps the page's lines."""
     kinds = [""] * len(texts)
     last = len(texts) - 1
-    usual = median([len(t) for t in texts[1:]]) if last > 1 else 50
+    usual = median([len(t) for t in texts[1:]]) if last > 1 else 0
     for i, text in enumerate(texts):
         edge = i in (0, last)
         if not edge_only and (last < 2 or i in (0, last)):

@@ -40,7 +40,7 @@ Rule = tuple[bool, str, str]
 #: First match decides.  Expressions are searched in the text up to the stop and matched from behind it.
 TABLES: dict[str, list[Rule]] = {
     "first": [
-        (False, r"", rf"{_CLOSED}+\s*[—–-]"),
+        (False, r"", rf"\s*{_CLOSED}+\s*[—–-]"),
         (False, r"(?:\.\s*\.|…)$", rf"{_CLOSED}*\s*\S"),
         (True, r"[׃。！？؟۔።፧!?．｡]$", r""),
         (False, r"", r"[^\s\"”“»«’'」』）)\]]"),

@@ -152,7 +152,9 @@ class FingerprintIndex:
         for run in self.runs:
             part = self._join(new, run)
             found = part if found is None else found.unionByName(part)
-        return found
+        path = f"{self.path}/matches_{uuid.uuid4().hex}"
+        found.write.parquet(path)  # they outlive the runs that a compaction drops
+        return self.spark.read.parquet(path)
 
     def _join(self, new: str, old: str) -> DataFrame:
         a = self.spark.table(new).select("h", *(F.col(c).alias(f"{c}_a") for c in ("key", "pos", "gap", "before", "after")))
