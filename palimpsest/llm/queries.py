@@ -124,22 +124,27 @@ def _span_values(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def _shared_pairs(spark: SparkSession, values: DataFrame) -> DataFrame:
+    """Text pairs that share a span: gold is history, page lines the new batch."""
+    index = spans.FingerprintIndex(spark, scratch(spark, "index"))
+    texts = values.groupBy("key").agg(F.first("text").alias("text"), F.max(F.col("rec").startswith("gold:")).alias("old"))
+    matches = index.append(texts.where("old")).unionByName(index.append(texts.where("not old")))
+    index.compact()
+    return spans.verified(matches, texts.select("key", "text"))
+
+
 @query
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs of records that share a span of at least 50 code points: gold is history, page lines the new batch."""
+    """Pairs of records that share a span of at least 50 code points."""
     values = _span_values(spark, d)
-    index = spans.FingerprintIndex(spark, scratch(spark, "index"))
-    is_gold = F.col("rec").startswith("gold:")
-    texts = values.groupBy("key").agg(F.first("text").alias("text"), F.max(is_gold).alias("old"))
-    matches = index.append(texts.where("old")).unionByName(index.append(texts.where("not old")))
-    pairs = spans.verified(matches, texts.select("key", "text"))
-    return spans.record_pairs(values, pairs)
+    return spans.record_pairs(values, _shared_pairs(spark, values))
 
 
 @query
 def p4_shares(spark: SparkSession, d: str) -> DataFrame:
     """For each record, how much of its text also stands elsewhere."""
-    return spans.shares(_span_values(spark, d))
+    values = _span_values(spark, d)
+    return spans.shares(values, spans.sharing_keys(values, _shared_pairs(spark, values)))
 
 
 def _leaks(spark: SparkSession, d: str) -> DataFrame:

@@ -202,14 +202,24 @@ def record_pairs(values: DataFrame, pairs: DataFrame) -> DataFrame:
     return kept.select(F.least("r_a", "r_b").alias("rec_a"), F.greatest("r_a", "r_b").alias("rec_b")).distinct()
 
 
-def shares(values: DataFrame) -> DataFrame:
+def sharing_keys(values: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(key) of the texts that are in a pair or are held by several owners: no other text shares a span."""
+    owners = values.groupBy("key").agg(F.min("owner").alias("low"), F.max("owner").alias("high")).where("low != high").select("key")
+    return owners.unionByName(pairs.select(F.col("key_a").alias("key"))).unionByName(pairs.select(F.col("key_b").alias("key"))).distinct()
+
+
+def shares(values: DataFrame, among: DataFrame | None = None) -> DataFrame:
     """(rec, chars, shared_chars, share): how much of each record lies in windows of `SPAN` that another owner holds too.
 
+    `among`: the keys `sharing_keys` gives, which leaves the windows of all other texts out of the work.
+
     Linear in the text: every window's hash is grouped once (map-side least and
     greatest owner), never paired, so a passage held by a third of all records
     is one group of two figures.
     """
     texts = values.select("owner", "key", "text").where(F.length("text") >= SPAN).dropDuplicates(["owner", "key"])
+    if among is not None:
+        texts = texts.join(among, "key", "left_semi").select("owner", "key", "text")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:

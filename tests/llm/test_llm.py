@@ -186,6 +186,8 @@ def test_p4_against_brute_force(spark, tmp_path):
     for rec, owner, text in values:
         for i in range(len(text) - 49):
             owners[text[i : i + 50]].add(owner)
+    plain = sorted(map(tuple, spans.shares(frame).collect()))
+    assert plain == sorted(map(tuple, spans.shares(frame, spans.sharing_keys(frame, spans.verified(found, texts))).collect()))
     for r in spans.shares(frame).collect():
         own = [t for rec, _, t in values if rec == r["rec"]][0]
         marked = {j for i in range(len(own) - 49) if len(owners[own[i : i + 50]]) > 1 for j in range(i, i + 50)}
