@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from palimpsest.functions import legacy, normal, tokens
 from palimpsest.operators import alignment, lexicon, quotation, repair, search, similarity, spans, windows, witness
 from palimpsest.plans import duck
 from palimpsest.sources import sinks, transcript
+from palimpsest.plans.lineage import shared_dir
 from palimpsest.sources.tables import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -774,3 +777,186 @@ def ref_K5_package(spark: SparkSession, d: str) -> DataFrame:
     sized = load(spark, d, "corpus", "kind", "part_no", "chapter", "text").where("kind = 'ch'").groupBy("part_no", "chapter").agg(F.sum(F.length("text")).alias("size"))
     packed = sinks.library_package(sized.withColumn("text", F.concat(F.col("chapter").cast("string"), F.lit("="), F.col("size").cast("string"))))
     return packed.select("part_no", "n", F.array_join(F.map_values("chapters"), " ").alias("chapters"))
+
+
+# --- structure: candidates, anchors, scores, assignment
+
+
+@register("SELECT u.unit_id, round(CASE WHEN via = 'numeral' THEN 1.0 ELSE 0 END + 1.6 * coalesce(v.score, 0) + CASE WHEN via <> 'front' THEN 0.30 ELSE 0 END + CASE WHEN token_at = 0 THEN 0.25 ELSE 0 END, 6) AS total, CASE WHEN via = 'numeral' THEN 1.0 ELSE 0 END + 1.6 * coalesce(v.score, 0) + CASE WHEN via <> 'front' THEN 0.30 ELSE 0 END + CASE WHEN token_at = 0 THEN 0.25 ELSE 0 END >= 0.80 AS accepted FROM (SELECT DISTINCT unit_id, via, token_at FROM units) u LEFT JOIN verification v USING (unit_id)")
+def ref_E8_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Combined score of each placed unit, and whether it is accepted."""
+    u = load(spark, d, "units", "unit_id", "via", "token_at").distinct().join(load(spark, d, "verification", "unit_id", "score"), "unit_id", "left")
+    flag = lambda c, w: F.when(c, w).otherwise(0.0)
+    total = flag(F.col("via") == "numeral", 1.0) + 1.6 * F.coalesce("score", F.lit(0.0)) + flag(F.col("via") != "front", 0.30) + flag(F.col("token_at") == 0, 0.25)
+    return u.select("unit_id", F.round(total, 6).alias("total"), (total >= 0.80).alias("accepted"))
+
+
+@register("SELECT token_id, text FROM (SELECT token_id, text, lag(text) OVER (PARTITION BY volume, page ORDER BY pos, token_id) AS before FROM tokens WHERE text IS NOT NULL) WHERE regexp_matches(text, '^(?:[א-ט]|[י-ע]?[א-ט]?|טו|טז)\\.$') AND length(text) BETWEEN 2 AND 3 AND (before IS NULL OR regexp_matches(before, '[.!?׃]$'))")
+def ref_P9_strict_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """Numerals that open a sentence."""
+    before = F.lag("text").over(Window.partitionBy("volume", "page").orderBy("pos", "token_id"))
+    base = load(spark, d, "tokens", "token_id", "volume", "page", "pos", "text").where("text is not null").withColumn("before", before)
+    return base.where(F.col("text").rlike(r"^(?:[א-ט]|[י-ע]?[א-ט]?|טו|טז)\.$") & F.length("text").between(2, 3) & (F.col("before").isNull() | F.col("before").rlike("[.!?׃]$"))).select("token_id", "text")
+
+
+@register("SELECT volume, part_no, min(page * 100000 + token_at) AS anchor FROM units GROUP BY volume, part_no")
+def ref_P10_anchors(spark: SparkSession, d: str) -> DataFrame:
+    """Where each part begins in each volume."""
+    return load(spark, d, "units", "volume", "part_no", "page", "token_at").groupBy("volume", "part_no").agg(F.min(F.col("page") * 100000 + F.col("token_at")).alias("anchor"))
+
+
+@register("SELECT line_id, CASE WHEN p > 0 THEN substr(text, 1, p - 1) ELSE '' END AS label, CASE WHEN p > 0 THEN substr(text, p + 3) ELSE text END AS tail FROM (SELECT line_id, text, strpos(text, ' — ') AS p FROM page_lines WHERE text IS NOT NULL)")
+def ref_P11_label_split(spark: SparkSession, d: str) -> DataFrame:
+    """Lines split at their first dash."""
+    base = load(spark, d, "page_lines", "line_id", "text").where("text is not null").withColumn("p", F.locate(" — ", F.col("text")))
+    return base.select("line_id", F.expr("if(p > 0, substring(text, 1, p - 1), '')").alias("label"), F.expr("if(p > 0, substring(text, p + 3), text)").alias("tail"))
+
+
+def _page_scores(spark: SparkSession, d: str) -> DataFrame:
+    """(volume, page, section, score): containment of each page's 4-grams in each chapter sharing any."""
+    words = load(spark, d, "page_lines", "volume", "page", "text").where("text is not null").groupBy("volume", "page").agg(F.concat_ws("", F.array_sort(F.collect_list("text"))).alias("text"))
+    pages = words.select("volume", "page", tokens.grams(normal.letters_only("text"), 4).alias("g")).where("size(g) > 0")
+    chapters = load(spark, d, "corpus", "kind", "lang", "part_no", "chapter", "text").where("kind = 'ch' and lang = 'he'")
+    held = chapters.select((F.col("part_no") * 1000 + F.col("chapter")).alias("section"), F.explode(tokens.grams(normal.letters_only("text"), 4)).alias("gram")).distinct()
+    hits = pages.select("volume", "page", F.size("g").alias("n"), F.explode("g").alias("gram")).join(held, "gram").groupBy("volume", "page", "section").agg((F.count("*") / F.first("n")).alias("score"))
+    return hits
+
+
+def _by_volume(frame: DataFrame, solve: Callable[[list, list, list], list], names: str) -> DataFrame:
+    """`solve` on the page × chapter matrix of each volume, an outline of pages and at most some hundred chapters."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        table = pdf.pivot_table(index="page", columns="section", values="score", fill_value=0.0).sort_index()
+        pages, sections = table.index.tolist(), table.columns.tolist()
+        rows = [(pdf["volume"].iloc[0], pages[i], sections[j]) for i, j in solve(table.values.tolist(), pages, sections)]
+        return pd.DataFrame(rows, columns=names.split())
+
+    return frame.groupBy("volume").applyInPandas(run, "volume string, page int, section int")
+
+
+@register()
+def ref_J5_monotone_pages(spark: SparkSession, d: str) -> DataFrame:
+    """A chapter for each page, never falling back within a volume."""
+    return _by_volume(_page_scores(spark, d), lambda scores, pages, sections: list(enumerate(alignment.monotone_pages(scores))), "volume page section")
+
+
+@register()
+def ref_J6_sparse_assignment(spark: SparkSession, d: str) -> DataFrame:
+    """Strictly rising chapters for the pages that earn one."""
+    return _by_volume(_page_scores(spark, d), lambda scores, pages, sections: alignment.sparse_assignment(scores, 0.05), "volume page section")
+
+
+@register()
+def ref_J7_numbered_chain(spark: SparkSession, d: str) -> DataFrame:
+    """The best chain of the units' chapter numbers in each volume."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["page", "token_at", "unit_id"]).reset_index(drop=True)
+        chain = alignment.numbered_chain(pdf["chapter"].tolist(), {1: 76, 2: 48, 3: 54})
+        return pd.DataFrame([(pdf["volume"][i], pdf["unit_id"][i], part) for i, part in chain], columns=["volume", "unit_id", "part"])
+
+    units = load(spark, d, "units", "volume", "unit_id", "page", "token_at", "chapter").where("chapter > 0").distinct()
+    return units.groupBy("volume").applyInPandas(run, "volume string, unit_id string, part int")
+
+
+@register()
+def ref_J10_restored(spark: SparkSession, d: str) -> DataFrame:
+    """The lines' words collated with the tokens: guide where equal, else kept if attested, else replaced with the old form saved."""
+    pairs = _aligned(spark, d).where("i is not null and j is not null").select("volume", "page", "i", "own", "word", normal.bare("own").alias("bare"))
+    judged = lexicon.attested(pairs, _lexicon(spark, d), "bare")
+    same = normal.bare("own") == normal.bare("word")
+    why = F.when(same, "guide").when(F.col("attested"), "keep").otherwise("fix")
+    return judged.select("volume", "page", "i", F.when(why == "fix", F.col("word")).otherwise(F.col("own")).alias("form"), why.alias("why"), F.when(why == "fix", F.col("own")).alias("was"), F.when(why == "keep", F.col("word")).alias("other"))
+
+
+@register(f"WITH {_RANGES} SELECT volume, w * 2000 AS from_at, count(*) AS pages, min(page) AS first_page FROM (SELECT volume, page, unnest(generate_series(start_at // 2000, (start_at + n - 1) // 2000)) AS w FROM r) GROUP BY volume, w")
+def ref_J13_window_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Pages that each window of 2,000 characters touches."""
+    held = _ranges(spark, d).select("volume", "page", F.explode(F.expr("sequence(start_at div 2000, (end_at - 1) div 2000)")).alias("w"))
+    return held.groupBy("volume", (F.col("w") * 2000).alias("from_at")).agg(F.count("*").alias("pages"), F.min("page").alias("first_page"))
+
+
+@register()
+def ref_J14_bijection(spark: SparkSession, d: str) -> DataFrame:
+    """Verbatim runs of passage pairs that overlap on neither side."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        kept = quotation.disjoint(list(zip(pdf["c_start"], pdf["c_end"], pdf["b_start"], pdf["b_end"])))
+        out = pd.DataFrame(kept, columns=["c_start", "c_end", "b_start", "b_end"])
+        out.insert(0, "b", pdf["b"].iloc[0])
+        out.insert(0, "a", pdf["a"].iloc[0])
+        return out
+
+    return ref_J1_quotations(spark, d).groupBy("a", "b").applyInPandas(run, "a long, b long, c_start int, c_end int, b_start int, b_end int")
+
+
+@register()
+def ref_J17_elisions(spark: SparkSession, d: str) -> DataFrame:
+    """Substitutions where only one side is an etcetera, and the two pairs behind each as its debris."""
+    order = Window.partitionBy("volume", "page").orderBy("n")
+    mark = r"^(?:וכו|וגו|וג|etc|usw)[׳'.]*$"
+    pairs = _aligned(spark, d).withColumn("elided", F.coalesce(F.col("own").rlike(mark) & ~F.col("word").rlike(mark), F.lit(False)))
+    debris = F.coalesce(F.lag("elided", 1).over(order), F.lit(False)) | F.coalesce(F.lag("elided", 2).over(order), F.lit(False))
+    return pairs.withColumn("debris", debris).where("elided or debris").select("volume", "page", "n", "own", "word", "elided", "debris")
+
+
+@register()
+def ref_V4_insertions(spark: SparkSession, d: str) -> DataFrame:
+    """Words of the lines that the tokens lack, as runs before the word they come in front of."""
+    inserted = alignment.projected(_aligned(spark, d), ["volume", "page"]).where("inserted")
+    return inserted.groupBy("volume", "page", "at").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "word"))), lambda s: s["word"]), " ").alias("words"))
+
+
+_LAYER = f"ly AS (SELECT DISTINCT volume, page, {duck.bare('x')} AS w FROM (SELECT volume, page, unnest(string_split(text, ' ')) AS x FROM page_lines WHERE text IS NOT NULL))"
+
+
+@register(f"WITH {_LAYER}, f AS (SELECT token_id, volume, page, w, lead(w) OVER o AS w1, lead(w, 2) OVER o AS w2 FROM (SELECT token_id, volume, page, pos, {duck.bare('text')} AS w FROM tokens WHERE text IS NOT NULL) WINDOW o AS (PARTITION BY volume, page ORDER BY pos, token_id)), c AS (SELECT token_id, volume, page, 2 AS n, w || w1 AS whole FROM f WHERE w <> '' AND w1 <> '' UNION ALL SELECT token_id, volume, page, 3, w || w1 || w2 FROM f WHERE w <> '' AND w1 <> '' AND w2 <> '') SELECT token_id, max(n) AS fragments FROM c JOIN ly ON c.volume = ly.volume AND c.page = ly.page AND c.whole = ly.w GROUP BY token_id")
+def ref_V5_welds(spark: SparkSession, d: str) -> DataFrame:
+    """Two or three fragments whose joined form the lines of the page have whole, the longest run for each first fragment."""
+    layer = load(spark, d, "page_lines", "volume", "page", "text").where("text is not null").select("volume", "page", F.explode(F.split("text", " ")).alias("x")).select("volume", "page", normal.bare("x").alias("whole")).distinct()
+    base = load(spark, d, "tokens", "token_id", "volume", "page", "pos", "text").where("text is not null").withColumn("w", normal.bare("text"))
+    ahead = tokens.neighbours(base, ["volume", "page"], ["pos", "token_id"], "w", 2).where("w != '' and word_1 != ''")
+    runs = F.array(F.struct(F.lit(2).alias("n"), F.concat("w", "word_1").alias("whole")), F.when(F.col("word_2") != "", F.struct(F.lit(3).alias("n"), F.concat("w", "word_1", "word_2").alias("whole"))))
+    parts = ahead.select("token_id", "volume", "page", F.explode(runs).alias("r")).where("r is not null").select("token_id", "volume", "page", "r.n", "r.whole")
+    return parts.join(layer, ["volume", "page", "whole"], "left_semi").groupBy("token_id").agg(F.max("n").alias("fragments"))
+
+
+@register()
+def ref_V10_mended(spark: SparkSession, d: str) -> DataFrame:
+    """Each broken form with its first repair that holds: closed up, replaced, split."""
+    closed = ref_V9_closed(spark, d).join(load(spark, d, "tokens", "token_id", "text"), "token_id").select(F.col("text").alias("word"), F.col("shut").alias("fixed"), F.lit("closed").alias("how"), F.lit(1).alias("k")).distinct()
+    replaced = ref_V7_picked(spark, d).select("word", "fixed", F.lit("replaced").alias("how"), F.lit(2).alias("k"))
+    cut = ref_V8_splits(spark, d).join(_broken(spark, d), "word", "left_semi").select("word", F.concat_ws(" ", "left", "right").alias("fixed"), F.lit("split").alias("how"), F.lit(3).alias("k"))
+    return closed.unionByName(replaced).unionByName(cut).groupBy("word").agg(F.min_by("fixed", "k").alias("fixed"), F.min_by("how", "k").alias("how"))
+
+
+@register()
+def ref_W3_snapped(spark: SparkSession, d: str) -> DataFrame:
+    """Display spans moved out to whole words."""
+    lines = load(spark, d, "page_lines", "line_id", "text").where("text is not null")
+    return spans.snapped(_display(spark, d).join(lines, "line_id"), "text").select("line_id", "start_at", "end_at")
+
+
+@register("SELECT line_id, replace(text, ' ', '') AS joined FROM page_lines WHERE regexp_matches(text, '^(?:[^ ] ){2,}[^ ]$')")
+def ref_W6_spaced_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Lines set in single spaced letters, closed up."""
+    base = load(spark, d, "page_lines", "line_id", "text").where(F.col("text").rlike("^(?:[^ ] ){2,}[^ ]$"))
+    return base.select("line_id", F.regexp_replace("text", " ", "").alias("joined"))
+
+
+@register()
+def ref_G16_order(spark: SparkSession, d: str) -> DataFrame:
+    """Upper median over pages of the share of words in the longest increasing chain."""
+    chain = ref_E5_chain(spark, d).groupBy("unit").agg(F.count("*").alias("kept"))
+    size = ref_J4_anchors(spark, d).select(F.concat_ws(":", "volume", "page").alias("unit"), "anchors").where("anchors >= 2")
+    ratios = chain.join(size, "unit").select(F.round(F.least(F.lit(1.0), F.col("kept") / F.col("anchors")), 4).alias("r"))
+    n = ratios.count()
+    return ratios.orderBy("r").offset(n // 2).limit(1).select(F.lit(n).alias("pages"), F.col("r").alias("median"))
+
+
+@register("SELECT DISTINCT unit_id, volume, page, score FROM units")
+def ref_K1_json(spark: SparkSession, d: str) -> DataFrame:
+    """Units written as JSON and read back."""
+    path = f"{shared_dir(spark).rstrip('/')}/json-{uuid.uuid4().hex}"
+    sinks.write_json(load(spark, d, "units", "unit_id", "volume", "page", "score").distinct(), path)
+    return spark.read.schema("unit_id string, volume string, page int, score double").json(path)
