@@ -56,6 +56,8 @@ def plain(word: str) -> str:
     """Compatibility forms, points, invisible characters and look-alikes removed."""
     if word.isascii():
         return word
+    if re.search("[װ-ײ]", word):
+        word = word.replace("װ", "וו").replace("ױ", "וי").replace("ײ", "יי")
     folded = unicodedata.normalize("NFKD", word)
     kept = "".join(c for c in folded if unicodedata.category(c) not in ("Mn", "Cf"))
     if "Ͱ" <= max(kept, default="") and re.search("[Ͱ-ӿ]", kept) and re.search("[A-Za-z]", kept):
@@ -99,7 +101,8 @@ class Reader:
             return None
         if core[-1] in "'׳’" and letters <= 3 or any(not ("א" <= c <= "ת" or c < "ʰ") for c in core if c.isalpha()):
             return None
-        parts = [p for p in re.split(rf"[{BREAKS}–—/'’׳״\"().,:;]", core) if p]
+        joints = rf"[{BREAKS}–—/״\"().,:;]" if re.search("[א-ת]", core) else rf"[{BREAKS}–—/'’\"().,:;]"
+        parts = [p for p in re.split(joints, core) if p]
         if len(parts) > 1 and all(self.knows(p) or p.isdigit() or len(p) < 2 for p in parts):
             return None
         if core.isalpha() and (letters <= 3 and numeral(core) or len(core) < 3):
