@@ -150,7 +150,7 @@ def as_case(rules: list[tuple[str, Rule]], rest: str = "prose") -> str:
 def fit(documents: DataFrame, labels: DataFrame, common: list[str], limit: int = MAX_LABELLED) -> list[tuple[str, Rule]]:
     """Rules learned from at most `limit` labelled documents; without labels there are none."""
     sample = labels.where("label is not null").select("doc_id", "label").orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
-    texts = documents.where("text is not null").select("doc_id", "text").join(sample, "doc_id")
+    texts = documents.where("text is not null").select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # at most `limit` ids and labels
     names = list(measures([]))
     rows = with_measures(texts, common, ("doc_id", "label")).orderBy(F.xxhash64("doc_id"), "doc_id", "label").collect()
     if not rows:
