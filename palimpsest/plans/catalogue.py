@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions import legacy, normal, tokens
-from palimpsest.operators import alignment, lexicon, quotation, repair, search, similarity, spans, windows, witness
+from palimpsest.operators import alignment, lexicon, quotation, repair, search, similarity, spans, structure, windows, witness
 from palimpsest.plans import duck
 from palimpsest.sources import sinks, transcript
 from palimpsest.plans.lineage import shared_dir
@@ -960,3 +960,21 @@ def ref_K1_json(spark: SparkSession, d: str) -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/json-{uuid.uuid4().hex}"
     sinks.write_json(load(spark, d, "units", "unit_id", "volume", "page", "score").distinct(), path)
     return spark.read.schema("unit_id string, volume string, page int, score double").json(path)
+
+
+@register()
+def ref_J8_seams(spark: SparkSession, d: str) -> DataFrame:
+    """Where each page's lines part between what its tokens' first and second halves quote."""
+    lines = load(spark, d, "page_lines", "line_id", "text").where("text is not null").select(F.col("line_id").alias("unit"), "text")
+    stops = tokens.spans(lines, "unit", "text")
+    cuts = stops.where(F.col("token").rlike("[.!?׃]$")).select("unit", F.col("end_at").alias("cut")).unionByName(lines.select("unit", F.length("text").cast("long").alias("cut"))).distinct()
+    shown = _display(spark, d).select(F.col("line_id").alias("unit"), F.when(F.col("start_at") % 2 == 0, "a").otherwise("b").alias("side"), "start_at", "end_at")
+    heads = stops.where(F.col("token").rlike(r"^\\d+$")).select("unit", F.col("start_at").alias("at"))
+    return structure.seams(cuts, shown, heads)
+
+
+@register()
+def ref_J11_trace(spark: SparkSession, d: str) -> DataFrame:
+    """The place among a page's tokens of every word of its lines."""
+    pages = _page_words(spark, d).select("volume", "page", F.posexplode(structure.traced("layer", "read")).alias("i", "place"))
+    return pages

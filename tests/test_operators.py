@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from palimpsest.functions import normal, tokens
-from palimpsest.operators import alignment, quotation, repair, search, similarity, spans, windows, witness
+from palimpsest.operators import alignment, quotation, repair, search, similarity, spans, structure, windows, witness
 from palimpsest.sources import sinks, transcript
 
 WORDS = st.lists(st.sampled_from(["אב", "אג", "בד", "גגג", "ה"]), max_size=7)
@@ -172,3 +172,28 @@ def test_transcript_round_trip(spark, tmp_path):
     assert transcript.eye_readings(eyes).select("hedged", "body").first() == (["ב"], "א ב ב")
     volume = spark.createDataFrame([("# T\n\n> n\n\n## p\n\ntext",)], "value string")
     assert [r["kind"] for r in transcript.markdown_volume(volume).orderBy("n").collect()] == ["title", "note", "page", "paragraph"]
+
+
+def test_trace():
+    book = "אב גד הו זח טי כל מנ סע פצ".split()
+    assert structure.trace(book, book) == list(range(9))
+    assert structure.trace("אב גד הו xx טי".split(), book) == [0, 1, 2, None, 4]
+    assert structure.trace([], book) == [] and structure.trace(["אב"], []) == [None]
+
+
+def test_seams(spark):
+    cuts = spark.createDataFrame([(1, 10), (1, 50), (1, 110), (2, 5), (2, 70), (3, 8)], "unit int, cut int")
+    quotes = spark.createDataFrame([(1, "a", 0, 9), (1, "a", 30, 45), (1, "b", 70, 100), (2, "a", 0, 4), (1, "b", 31, 33)], "unit int, side string, start_at int, end_at int")
+    heads = spark.createDataFrame([(1, 52)], "unit int, at int")
+    assert {tuple(r) for r in structure.seams(cuts, quotes, heads).collect()} == {(1, 50), (2, 70), (3, 8)}
+    assert structure.seams(cuts.limit(0), quotes, heads).count() == 0
+
+
+def test_streamed_lexicon(spark, tmp_path):
+    from palimpsest.streaming import lexicon as stream
+
+    rows = [("אב גד",), ("אב",), (None,), ("",)]
+    spark.createDataFrame(rows, "text string").repartition(2).write.parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema("text string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    stream.keep_lexicon(source, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
+    assert sorted(map(tuple, stream.lexicon(spark, str(tmp_path / "out")).collect())) == [("אב", 2), ("גד", 1)]
