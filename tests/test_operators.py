@@ -183,7 +183,7 @@ def test_trace():
 
 def test_seams(spark):
     cuts = spark.createDataFrame([(1, 10), (1, 50), (1, 110), (2, 5), (2, 70), (3, 8)], "unit int, cut int")
-    quotes = spark.createDataFrame([(1, "a", 0, 9), (1, "a", 30, 45), (1, "b", 70, 100), (2, "a", 0, 4), (1, "b", 31, 33)], "unit int, side string, start_at int, end_at int")
+    quotes = spark.createDataFrame([(1, "a", 0, 9), (1, "a", 30, 45), (1, "b", 70, 85), (2, "a", 0, 4), (1, "b", 31, 33)], "unit int, side string, start_at int, end_at int")
     heads = spark.createDataFrame([(1, 52)], "unit int, at int")
     assert {tuple(r) for r in structure.seams(cuts, quotes, heads).collect()} == {(1, 50), (2, 70), (3, 8)}
     assert structure.seams(cuts.limit(0), quotes, heads).count() == 0
