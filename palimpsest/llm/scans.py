@@ -122,13 +122,16 @@ class Reader:
 Line = list[tuple[int, str]]  # (index of the row, word)
 
 
-def furniture(texts: list[str], edge_only: bool = True) -> list[str]:
-    """`header`, `page_no` or `` for each line of a page (`edge_only`) or of a paragraph that keeps the page's lines."""
+def furniture(texts: list[str], edge_only: bool = True, foot: int | None = None) -> list[str]:
+    """`header`, `page_no` or `` for each line of a page (`edge_only`) or of a paragraph that keeps the page's lines.
+
+    `foot`: the last line above the notes, which may be the page number's place.
+    """
     kinds = [""] * len(texts)
     last = len(texts) - 1
     usual = median([len(t) for t in texts[1:]]) if last > 1 else 0
     for i, text in enumerate(texts):
-        edge = i in (0, last)
+        edge = i in (0, last, foot)
         if not edge_only and (last < 2 or i in (0, last)):
             continue
         if _NUMBER.fullmatch(text) and any(c.isdigit() for c in text):
@@ -305,7 +308,7 @@ def _one_reading(rows: list[dict], before: list[dict] | None, reader: Reader, tb
     if tbl == "tokens":
         lines = [[(r["row_id"], r["text"]) for r in line] for line in token_lines(rows)]
         return read_unit(lines, furniture([" ".join(w for _, w in line) for line in lines]), reader, carry)
-    kinds = furniture([r["text"] for r in rows])
+    kinds = furniture([r["text"] for r in rows], foot=max((i for i, r in enumerate(rows) if not r["fresh"]), default=None))
     noise, text = [], []
     for notes in (False, True):
         own = [(r, k) for r, k in zip(rows, kinds) if r["fresh"] == notes]

@@ -191,7 +191,7 @@ def page_ends(rows: list[dict], before: list[str], after: list[str], languages:
 
 
 def _read(rows: list[dict], before: list[str], after: list[str], languages: Languages) -> list[tuple[int, int]]:
-    kinds = furniture([r["text"] for r in rows])
+    kinds = furniture([r["text"] for r in rows], foot=max((i for i, r in enumerate(rows) if not r["notes"]), default=None))
     out = []
     for notes in (False, True):
         own = [(r["row_id"], r["text"]) for r, k in zip(rows, kinds) if not k and r["notes"] == notes]
