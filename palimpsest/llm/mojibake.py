@@ -121,7 +121,7 @@ def unicode_mark(c: str) -> bool:
     return "֑" <= c <= "ׇ" or "̀" <= c <= "ͯ"
 
 
-def undo_multibyte(text: str) -> tuple[str, bool]:
+def undo_multibyte(text: str, vocabulary: frozenset[str] = frozenset()) -> tuple[str, bool]:
     """`text` with every span of misread UTF-8 decoded, to the innermost layer."""
     found = False
     for _ in range(6):
@@ -137,7 +137,7 @@ def undo_multibyte(text: str) -> tuple[str, bool]:
                 decoded = _decode_span(m[0])
                 if trust := _trusted(text, m.start(), m.end(), m[0], decoded, codec):
                     spans.append((m.start(), m.end(), decoded))
-                    sure = max(sure, trust)
+                    sure = max(sure, 2 if decoded in vocabulary else trust)
             if sure < 2:
                 continue
             covered = sum(b - a - d.count(LOST) for a, b, d in spans)
@@ -234,7 +234,7 @@ def repair(text: str | None, vocabulary: frozenset[str]) -> tuple[str | None, bo
     """(repaired text, whether any stretch was garbled)."""
     if not text or _PLAIN.fullmatch(text):
         return text, False
-    text, multi = undo_multibyte(text)
+    text, multi = undo_multibyte(text, vocabulary)
     if _PLAIN.fullmatch(text):
         return text, multi
     text, single = undo_single_byte(text, vocabulary)

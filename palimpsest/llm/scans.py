@@ -130,8 +130,10 @@ def furniture(texts: list[str], edge_only: bool = True, foot: int | None = None)
     kinds = [""] * len(texts)
     last = len(texts) - 1
     usual = median([len(t) for t in texts[1:]]) if last > 1 else 0
+    # a head and a number may stand on two lines
     for i, text in enumerate(texts):
-        edge = i in (0, last, foot)
+        top = i == 0 or i == 1 and bool(kinds[0])
+        edge = top or i in (last, foot)
         if not edge_only and (last < 2 or i in (0, last)):
             continue
         if _NUMBER.fullmatch(text) and any(c.isdigit() for c in text):
@@ -140,7 +142,7 @@ def furniture(texts: list[str], edge_only: bool = True, foot: int | None = None)
             kinds[i] = "page_no"
         elif (edge or not edge_only) and (m := _LETTER_NUMBER.fullmatch(text)) and (m[1].isascii() or numeral(m[1])) and not text.rstrip().endswith((".", ",", "?", "!")):
             kinds[i] = "page_no"
-        elif (i == 0 if edge_only else True) and len(text) <= SHORT * usual and not re.search(r"[.,;!?׃]\s*[\"”“»]?\s*$", re.sub(r"[\W_]*\d+[\W_]*$", "", text)):
+        elif (top if edge_only else True) and len(text) <= SHORT * usual and not re.search(r"[.,;!?׃]\s*[\"”“»]?\s*$", re.sub(r"[\W_]*\d+[\W_]*$", "", text)):
             kinds[i] = "header"
     return kinds
 

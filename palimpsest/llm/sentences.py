@@ -199,7 +199,7 @@ def _read(rows: list[dict], before: list[str], after: list[str], languages: Lang
         come = ""
         if not notes:
             usual = max(map(len, after), default=0)
-            come = next((t for i, t in enumerate(after) if not _number_line(t) and not (i == 0 and len(t) <= SHORT * usual)), "")
+            come = next((t for i, t in enumerate(after) if not _number_line(t) and not (i <= 1 and len(t) <= SHORT * usual)), "")
         out += line_ends(own, past, come, languages)
     return out
 

@@ -115,6 +115,8 @@ def test_p2_page():
     noise, text = scans.page_noise(rows, None, reader(), "page_lines")
     assert sorted(noise) == [(1, "header"), (3, "hyphen"), (3, "misread"), (5, "page_no")]
     assert text == line + " שלום דברים רבים ספר מלכים ארץ ישראל כתב אדם גדול שלום"
+    assert scans.furniture(["יא", "ספר מלכים", line, line, line]) == ["page_no", "header", "", "", ""]
+    assert scans.furniture(["ספר מלכים", "יא", line, line, "אדם גדול."]) == ["header", "page_no", "", "", ""]
     again = [*rows, dict(rows[2], row_id=9)]
     assert (9, "hyphen") in scans.page_noise(again, None, reader(), "page_lines")[0]
 
