@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Kinds of spans by the order in which conflicts are settled (fixed values); kinds not named come with the words' marks.
 PRIORITY = {"q": 0, "note": 2}
@@ -24,17 +25,19 @@ def resolved(spans: list[tuple[int, int, str, int]]) -> list[tuple[int, int, str
     return sorted(kept, key=lambda s: (s[0], -s[1]))
 
 
-def resolve(frame: DataFrame, unit: str) -> DataFrame:
-    """W2 for every unit, a text of bounded length, of (unit, start_at, end_at, kind, n)."""
-    schema = f"{unit} {dict(frame.dtypes)[unit]}, start_at long, end_at long, kind string, n long"
+_SPANS = T.ArrayType(T.StructType([T.StructField("start_at", T.LongType()), T.StructField("end_at", T.LongType()), T.StructField("kind", T.StringType()), T.StructField("n", T.LongType())]))
+
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = resolved(list(zip(pdf["start_at"].tolist(), pdf["end_at"].tolist(), pdf["kind"].tolist(), pdf["n"].tolist())))
-        out = pd.DataFrame(rows, columns=["start_at", "end_at", "kind", "n"])
-        out.insert(0, unit, pdf[unit].iloc[0])
-        return out
+@F.pandas_udf(_SPANS)
+def _resolved(spans: pd.Series) -> pd.Series:
+    names = ("start_at", "end_at", "kind", "n")
+    return spans.map(lambda own: [dict(zip(names, r)) for r in resolved([tuple(s[k] for k in names) for s in own])])
 
-    return frame.select(unit, "start_at", "end_at", "kind", "n").groupBy(unit).applyInPandas(run, schema)
+
+def resolve(frame: DataFrame, unit: str) -> DataFrame:
+    """W2 for every unit, a text of bounded length, of (unit, start_at, end_at, kind, n); spans of equal place keep their order by n."""
+    own = frame.groupBy(unit).agg(F.array_sort(F.collect_list(F.struct("start_at", "end_at", "kind", "n"))).alias("s"))
+    return own.select(unit, F.explode(_resolved("s")).alias("x")).select(unit, "x.*")
 
 
 def snapped(frame: DataFrame, text: str) -> DataFrame:

@@ -879,15 +879,8 @@ def ref_J13_window_pages(spark: SparkSession, d: str) -> DataFrame:
 @register()
 def ref_J14_bijection(spark: SparkSession, d: str) -> DataFrame:
     """Verbatim runs of passage pairs that overlap on neither side."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept = quotation.disjoint(list(zip(pdf["c_start"], pdf["c_end"], pdf["b_start"], pdf["b_end"])))
-        out = pd.DataFrame(kept, columns=["c_start", "c_end", "b_start", "b_end"])
-        out.insert(0, "b", pdf["b"].iloc[0])
-        out.insert(0, "a", pdf["a"].iloc[0])
-        return out
-
-    return ref_J1_quotations(spark, d).groupBy("a", "b").applyInPandas(run, "a long, b long, c_start int, c_end int, b_start int, b_end int")
+    own = ref_J1_quotations(spark, d).groupBy("a", "b").agg(F.collect_list(F.struct("c_start", "c_end", "b_start", "b_end")).alias("s"))
+    return own.select("a", "b", F.explode(quotation.bijection("s")).alias("r")).select("a", "b", "r.*")
 
 
 @register()
