@@ -185,11 +185,15 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(_mixture(spark, d), load(spark, d, "mix_targets", "source", "target_share", "max_repeats"))
 
 
-def _verdicts(spark: SparkSession, d: str) -> DataFrame:
+def _function_words(spark: SparkSession, d: str) -> list[str]:
     common = [r[0] for r in load(spark, d, "common_words", "word").where("word is not null").distinct().limit(10_001).collect()]
     if len(common) > 10_000:
         raise ValueError("function word lists are short; this one holds more than 10,000 words")
-    return quality.verdicts(load(spark, d, "documents", "doc_id", "text"), load(spark, d, "doc_labels", "doc_id", "label"), common)
+    return common
+
+
+def _verdicts(spark: SparkSession, d: str) -> DataFrame:
+    return quality.verdicts(load(spark, d, "documents", "doc_id", "text"), load(spark, d, "doc_labels", "doc_id", "label"), _function_words(spark, d))
 
 
 @query
@@ -246,3 +250,23 @@ def p6_sentences(spark: SparkSession, d: str) -> DataFrame:
     texts = load(spark, d, "addenda_munich", "addenda_id", "text").select(F.col("addenda_id").alias("row_id"), F.posexplode("text").alias("elem", "text")).where("text is not null")
     spans_ = F.expr("transform(e, (x, i) -> trim(both ' \\n' from substring(text, if(i = 0, 0, e[i - 1]) + 1, x - if(i = 0, 0, e[i - 1]))))")
     return texts.join(cut, ["row_id", "elem"]).select("row_id", "elem", F.posexplode(spans_).alias("sentence_no", "sentence"))
+
+
+@query
+def p9_statistics(spark: SparkSession, d: str) -> DataFrame:
+    """The reported figures of every document, without the verdict."""
+    return quality.with_measures(load(spark, d, "documents", "doc_id", "text"), _function_words(spark, d)).select("doc_id", *quality.FIGURES)
+
+
+ORACLES["p9_statistics"] = r"""
+WITH c AS (SELECT DISTINCT word FROM common_words WHERE word IS NOT NULL),
+b AS (SELECT doc_id, text, greatest(length(text), 1) AS n,
+  list_filter(regexp_split_to_array(trim(text), '\s+'), lambda x: x <> '') AS w,
+  list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS l FROM documents),
+h AS (SELECT doc_id, count(*) AS hits FROM (SELECT doc_id, unnest(w) AS x FROM b) WHERE lower(x) IN (SELECT word FROM c) GROUP BY doc_id)
+SELECT doc_id, len(w)::DOUBLE AS words,
+  round((n - (len(w) - 1)) / greatest(len(w), 1), 6) AS mean_word_length,
+  round(length(regexp_replace(text, '[\p{L}\p{M}\p{N}\s]', '', 'g')) / n, 6) AS symbol_ratio,
+  round(len(list_filter(l, lambda x: regexp_matches(x, '[.!?…׃。！？؟۔።:;]["''”“’»)\]]*\s*$'))) / greatest(len(l), 1), 6) AS punctuated_lines,
+  CASE WHEN text IS NOT NULL THEN round(coalesce(hits, 0) / greatest(len(w), 1), 6) END AS common_words
+FROM b LEFT JOIN h USING (doc_id)"""
