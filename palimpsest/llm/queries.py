@@ -127,10 +127,16 @@ def _span_values(spark: SparkSession, d: str) -> DataFrame:
 def _shared_pairs(spark: SparkSession, values: DataFrame) -> DataFrame:
     """Text pairs that share a span: gold is history, page lines the new batch."""
     index = spans.FingerprintIndex(spark, scratch(spark, "index"))
-    texts = values.groupBy("key").agg(F.first("text").alias("text"), F.max(F.col("rec").startswith("gold:")).alias("old"))
-    matches = index.append(texts.where("old")).unionByName(index.append(texts.where("not old")))
+    path = scratch(spark, "texts")
+    distinct = values.where(F.length("text") >= spans.SPAN).groupBy("key").agg(F.first("text").alias("text"), F.max(F.col("rec").startswith("gold:")).alias("old"))
+    distinct.withColumn("id", F.monotonically_increasing_id()).write.parquet(path)  # written, so the short ids stay
+    texts = spark.read.parquet(path)
+    short = texts.select(F.col("id").alias("key"), "text", "old")
+    matches = index.append(short.where("old")).unionByName(index.append(short.where("not old")))
     index.drop()  # the matches are written; a standing index would be compacted and kept
-    return spans.verified(matches, texts.select("key", "text"))
+    pairs = spans.verified(matches, short.select("key", "text")).withColumnsRenamed({"key_a": "id_a", "key_b": "id_b"})
+    name = lambda s: texts.select(F.col("id").alias(f"id_{s}"), F.col("key").alias(f"key_{s}"))
+    return pairs.join(name("a"), "id_a").join(name("b"), "id_b").select("key_a", "key_b")
 
 
 @query

@@ -5,9 +5,9 @@ shared by two texts holds a fingerprint chosen in both (the smallest of every
 `SPAN - GRAM + 1` neighbouring gram hashes).  Fingerprints of all texts seen so
 far lie in sorted, bucketed, immutable runs; a new batch becomes a run of its
 own, is merge-joined with every older run and itself, and runs are compacted
-when they grow too many.  A match is judged from the characters beside the two
-grams, counted only at the leftmost fingerprint of its shared run, and verified
-on the texts themselves.
+when they grow too many.  A run's row is a hash, a text's key and a place; the
+places of a pair of texts at one shift are gathered and verified on the texts
+themselves, where the characters beside the grams must make up the span.
 
 Exact copies are one text with many records, so a text held by a third of all
 records costs one set of fingerprints.  Null and short texts share nothing;
@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SPAN, GRAM = 50, 40
@@ -72,11 +72,8 @@ def chosen(points: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple
     return at, hashes[at]
 
 
-_RUN = "h long, key string, pos int, gap int, before string, after string"
-
-
 def fingerprints(texts: DataFrame) -> DataFrame:
-    """(h, key, pos, gap to the previous fingerprint, characters before, after) of `texts`(key, text)."""
+    """(h, key, pos) of the fingerprints of `texts`(key, text)."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -93,7 +90,7 @@ def fingerprints(texts: DataFrame) -> DataFrame:
             if pending:
                 yield _table(pending)
 
-    return texts.where(F.length("text") >= SPAN).select("key", "text").mapInPandas(run, _RUN)
+    return texts.where(F.length("text") >= SPAN).select("key", "text").mapInPandas(run, f"h long, key {dict(texts.dtypes)['key']}, pos int")
 
 
 def _table(pieces: list[tuple[str, str, int]]) -> pd.DataFrame:
@@ -103,22 +100,14 @@ def _table(pieces: list[tuple[str, str, int]]) -> pd.DataFrame:
     points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
     at, hashes = chosen(points, starts, lengths)
     owner = np.searchsorted(starts, at, side="right") - 1
-    gap = np.full(len(at), -1, np.int64)
-    if len(at) > 1:
-        gap[1:] = np.where(owner[1:] == owner[:-1], np.diff(at), -1)
-    low, high = starts[owner], starts[owner] + lengths[owner]
-    left, right = np.maximum(low, at - CONTEXT), np.minimum(high, at + GRAM + CONTEXT)
     offset = np.array([o for _, _, o in pieces], np.int64)
-    return pd.DataFrame({
-        "h": hashes.view(np.int64), "key": [pieces[o][0] for o in owner], "pos": (at - low + offset[owner]).astype(np.int32), "gap": gap.astype(np.int32),
-        "before": [joined[a:b] for a, b in zip(left, at)], "after": [joined[a:b] for a, b in zip(at + GRAM, right)],
-    })
+    return pd.DataFrame({"h": hashes.view(np.int64), "key": [pieces[o][0] for o in owner], "pos": (at - starts[owner] + offset[owner]).astype(np.int32)})
 
 
-def _agreement(a: str, b: str, side: str) -> Column:
-    """Code points that two contexts have in common, from the gram outwards."""
+def _agreement(a: str, b: str, side: str) -> str:
+    """SQL: code points that two contexts have in common, from the gram outwards."""
     cut = (lambda c, i: f"substring({c}, -{i}, {i})") if side == "before" else (lambda c, i: f"substring({c}, 1, {i})")
-    return F.expr(" + ".join(f"if(length({a}) >= {i} and length({b}) >= {i} and {cut(a, i)} = {cut(b, i)}, 1, 0)" for i in range(1, CONTEXT + 1)))
+    return " + ".join(f"if(length({a}) >= {i} and length({b}) >= {i} and {cut(a, i)} = {cut(b, i)}, 1, 0)" for i in range(1, CONTEXT + 1))
 
 
 class FingerprintIndex:
@@ -143,8 +132,8 @@ class FingerprintIndex:
     def append(self, texts: DataFrame) -> DataFrame:
         """Index `texts`(key, text) whose keys are new, and return their matches.
 
-        (key_a, at_a, key_b, at_b): spans of at least `SPAN` code points that
-        begin there in both, one row at least for every two texts that share one.
+        (key_a, key_b, shift, at): places in text a of grams that stand `shift`
+        earlier in text b; every two texts that share a span have a row.
         """
         new = self._write(fingerprints(texts))
         self.runs.append(new)
@@ -157,12 +146,12 @@ class FingerprintIndex:
         return self.spark.read.parquet(path)
 
     def _join(self, new: str, old: str) -> DataFrame:
-        a = self.spark.table(new).select("h", *(F.col(c).alias(f"{c}_a") for c in ("key", "pos", "gap", "before", "after")))
-        b = self.spark.table(old).select("h", *(F.col(c).alias(f"{c}_b") for c in ("key", "pos", "gap", "before", "after")))
-        pairs = a.hint("merge").join(b, "h").where("key_a < key_b" if new == old else "key_a != key_b")
-        judged = pairs.withColumn("l", _agreement("before_a", "before_b", "before")).withColumn("r", _agreement("after_a", "after_b", "after"))
-        first = judged.where(f"l + r >= {SPAN - GRAM} and not (gap_a > 0 and gap_a = gap_b and l >= gap_a)")
-        return first.select("key_a", F.expr("pos_a - l").alias("at_a"), "key_b", F.expr("pos_b - l").alias("at_b"))
+        side = lambda run, s: self.spark.table(run).select("h", F.col("key").alias(f"key_{s}"), F.col("pos").alias(f"pos_{s}"))
+        pairs = side(new, "a").hint("merge").join(side(old, "b"), "h").where("key_a < key_b" if new == old else "key_a != key_b")
+        turned = F.col("key_a") > F.col("key_b")
+        one = lambda x, y: F.when(turned, F.col(y)).otherwise(F.col(x))
+        ordered = pairs.select(F.least("key_a", "key_b").alias("key_a"), F.greatest("key_a", "key_b").alias("key_b"), (one("pos_a", "pos_b") - one("pos_b", "pos_a")).alias("shift"), one("pos_a", "pos_b").alias("at"))
+        return ordered.groupBy("key_a", "key_b", "shift").agg(F.collect_set("at").alias("at"))
 
     def compact(self) -> None:
         """Merge all runs into one when there are more than `most_runs`."""
@@ -185,8 +174,11 @@ def verified(matches: DataFrame, texts: DataFrame) -> DataFrame:
     """(key_a, key_b) of the matches whose span really is the same in both texts; key_a < key_b."""
     side = lambda s: texts.select(F.col("key").alias(f"key_{s}"), F.col("text").alias(f"text_{s}"))
     both = matches.join(side("a"), "key_a").join(side("b"), "key_b")
-    same = both.where(f"substring(text_a, at_a + 1, {SPAN}) = substring(text_b, at_b + 1, {SPAN})")
-    return same.select(F.least("key_a", "key_b").alias("key_a"), F.greatest("key_a", "key_b").alias("key_b")).distinct()
+    piece = lambda t, p: f"substring({t}, greatest({p} - {CONTEXT}, 0) + 1, least({p}, {CONTEXT})) as b_{t}, substring({t}, {p} + 1, {GRAM}) as g_{t}, substring({t}, {p} + {GRAM} + 1, {CONTEXT}) as e_{t}"
+    cut = f"transform(at, p -> struct({piece('text_a', 'p')}, {piece('text_b', '(p - shift)')}))"
+    ends = [_agreement(f"s.{c}_text_a", f"s.{c}_text_b", side) for c, side in (("b", "before"), ("e", "after"))]
+    same = both.where(f"exists({cut}, s -> s.g_text_a = s.g_text_b and {ends[0]} + {ends[1]} >= {SPAN - GRAM})")
+    return same.select("key_a", "key_b").distinct()
 
 
 def record_pairs(values: DataFrame, pairs: DataFrame) -> DataFrame:
