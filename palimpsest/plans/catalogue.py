@@ -379,8 +379,8 @@ def ref_E5_chain(spark: SparkSession, d: str) -> DataFrame:
 _PAIR = f"WITH s AS (SELECT gold_id, unnest({duck.grams(duck.letters('text'), 12)}) AS seed FROM gold WHERE text IS NOT NULL)"
 
 
-def _seed_pairs(spark: SparkSession, d: str) -> DataFrame:
-    s = quotation.seeds(load(spark, d, "gold", "gold_id", "text"), "gold_id", "text", 12)
+def _seed_pairs(spark: SparkSession, d: str, n: int = 12) -> DataFrame:
+    s = quotation.seeds(load(spark, d, "gold", "gold_id", "text"), "gold_id", "text", n)
     return s.select(F.col("gold_id").alias("a"), "seed").join(s.select(F.col("gold_id").alias("b"), "seed"), "seed").where("a < b").groupBy("a", "b").agg(F.count("*").alias("seeds"))
 
 
@@ -469,13 +469,56 @@ def ref_G3_floor(spark: SparkSession, d: str) -> DataFrame:
     return lexicon.held_out_floor(w.select("witness", normal.fold("w").alias("word")))
 
 
+def _unit_texts(spark: SparkSession, d: str) -> DataFrame:
+    """(unit_id, part_no, chapter, text): a unit's tokens, from its first word up to the next unit's.
+
+    Tokens are placed within their page; the unit a page opens in is told from
+    the table of pages and units alone, so no volume's tokens are gathered.
+    """
+    place = Window.partitionBy("volume", "page").orderBy("pos", "token_id")
+    words = load(spark, d, "tokens", "token_id", "volume", "page", "pos", "text").where("volume is not null and page is not null").withColumn("at", F.row_number().over(place) - 1)
+    starts = load(spark, d, "units", "unit_id", "volume", "part_no", "chapter", "page", "token_at").distinct().select("volume", "page", F.col("token_at").alias("at"), F.struct("unit_id", "part_no", "chapter").alias("unit"))
+    last = starts.groupBy("volume", "page").agg(F.max_by("unit", F.struct("at", "unit.unit_id")).alias("own"))
+    pages = words.select("volume", "page").distinct().join(last, ["volume", "page"], "full")
+    earlier = Window.partitionBy("volume").orderBy("page").rowsBetween(Window.unboundedPreceding, -1)
+    opened = pages.select("volume", "page", F.last("own", ignorenulls=True).over(earlier).alias("open"))
+    marked = words.select("volume", "page", "at", "token_id", "text", F.lit(None).cast(starts.schema["unit"].dataType).alias("unit")).unionByName(starts.select("volume", "page", "at", F.lit(-1).cast("long").alias("token_id"), F.lit(None).cast("string").alias("text"), "unit"))
+    inside = Window.partitionBy("volume", "page").orderBy("at", "token_id", "unit.unit_id").rowsBetween(Window.unboundedPreceding, 0)
+    held = marked.withColumn("unit", F.last("unit", ignorenulls=True).over(inside)).where("text is not null").join(opened, ["volume", "page"], "left").withColumn("unit", F.coalesce("unit", "open")).where("unit is not null")
+    ordered = F.array_sort(F.collect_list(F.struct("page", "at", "token_id", "text")))
+    return held.groupBy("unit").agg(F.concat_ws(" ", F.transform(ordered, lambda w: w["text"])).alias("text")).select("unit.*", "text")
+
+
+def _null_models(units: DataFrame, chapters: DataFrame) -> DataFrame:
+    """(model, text_a, text_b): each of `units`(unit_id, part_no, chapter, text) with its own chapter, one picked by a hash, and its neighbour.
+
+    `chapters`(part_no, chapter, text) is the base text, some hundred rows.  As
+    in the reference the neighbour is the chapter ahead, else the one behind.
+    """
+    ranked = chapters.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("part_no", "chapter")) - 1)
+    own = units.withColumnRenamed("text", "text_a").join(ranked.withColumnRenamed("text", "text_b"), ["part_no", "chapter"])
+    others = F.lit(ranked.count() - 1)
+    pick = F.pmod(F.xxhash64("unit_id", "part_no", "chapter"), F.nullif(others, F.lit(0)))
+    drawn = own.drop("text_b").withColumn("rank", pick + (pick >= F.col("rank")).cast("int")).join(ranked.select("rank", F.col("text").alias("text_b")), "rank")
+    near = lambda step, name: ranked.select("part_no", (F.col("chapter") + step).alias("chapter"), F.col("text").alias(name))
+    beside = own.drop("text_b").join(near(-1, "ahead"), ["part_no", "chapter"], "left").join(near(1, "behind"), ["part_no", "chapter"], "left").withColumn("text_b", F.coalesce("ahead", "behind"))
+    model = lambda f, name: f.select(F.lit(name).alias("model"), "text_a", "text_b")
+    return model(own, "hits").unionByName(model(drawn, "random_null")).unionByName(model(beside, "adjacent_null"))
+
+
 @register()
 def ref_G4_calibration(spark: SparkSession, d: str) -> DataFrame:
-    """Verbatim runs of at least 10, 12 and 16 letters between passages that share a seed."""
+    """Verbatim runs of at least 10 to 16 letters of the units with their own, a hash-picked and the adjacent chapter, and of the passages with each other."""
+    chapters = load(spark, d, "corpus", "witness", "kind", "lang", "part_no", "chapter", "para_no", "text").where("kind = 'ch' and lang = 'he' and text is not null")
+    joined = F.concat_ws("\n", F.transform(F.array_sort(F.collect_list(F.struct("witness", "para_no", "text"))), lambda p: p["text"]))
+    nulls = _null_models(_unit_texts(spark, d), chapters.groupBy("part_no", "chapter").agg(joined.alias("text")))
     gold = load(spark, d, "gold", "gold_id", "text")
     side = lambda s: gold.select(F.col("gold_id").alias(s), F.col("text").alias(f"text_{s}"))
-    found = _seed_pairs(spark, d).join(side("a"), "a").join(side("b"), "b").select(F.explode(quotation.quotations(10)("text_a", "text_b")).alias("r")).select((F.col("r.c_end") - F.col("r.c_start")).alias("size"))
-    return found.agg(*(F.count_if(F.col("size") >= n).alias(f"at_least_{n}") for n in (10, 12, 16)))
+    passages = _seed_pairs(spark, d, quotation.LENGTHS[0]).join(side("a"), "a").join(side("b"), "b").select(F.lit("passages").alias("model"), "text_a", "text_b")
+    counts = nulls.unionByName(passages).select("model", F.posexplode(quotation.counts("text_a", "text_b")).alias("i", "n"))
+    lengths = F.array(*map(F.lit, quotation.LENGTHS))
+    found = counts.groupBy(F.get(lengths, F.col("i")).alias("minlen")).pivot("model", ["hits", "random_null", "adjacent_null", "passages"]).agg(F.sum("n"))
+    return spark.createDataFrame([(n,) for n in quotation.LENGTHS], "minlen int").join(found, "minlen", "left").na.fill(0)
 
 
 @register("SELECT why, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 4) AS share FROM tokens GROUP BY why")
