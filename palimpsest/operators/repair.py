@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from palimpsest.operators import lexicon
 from palimpsest.plans.lineage import cut
 
 FLOOR, STRONG, DOMINANCE = 2, 10, 8
+#: Reasons of a choice that free repair leaves alone.
+SURE = ("guide", "agree", "most", "seen", "lex", "keep", "fix")
 
 
 def confusions(pairs: DataFrame, floor: int = FLOOR) -> DataFrame:
@@ -27,36 +30,56 @@ def variants(words: DataFrame, table: DataFrame, depth: int = 1) -> DataFrame:
     return out.where("variant != word")
 
 
+def gated(words: DataFrame) -> DataFrame:
+    """(word, protected) of `words`; without a column of that name nothing is protected."""
+    return words.select("word", "protected" if "protected" in words.columns else F.lit(False).alias("protected")).distinct()
+
+
+def candidates(words: DataFrame, table: DataFrame, attested_forms: DataFrame, depth: int = 2, strong: DataFrame | None = None) -> DataFrame:
+    """V6: (word, protected, variant) of the attested variants of `words`(word[, protected]).
+
+    A protected word is read with the strong table (by default the rows of
+    `table` witnessed STRONG times) and one letter replaced, any other with the
+    full one and up to `depth`.
+    """
+    own = gated(words)
+    strong = table.where(F.col("n") >= STRONG) if strong is None else strong
+    free = variants(own.where("not protected"), table, depth).withColumn("protected", F.lit(False))
+    sure = variants(own.where("protected"), strong, 1).withColumn("protected", F.lit(True))
+    return lexicon.attested(free.unionByName(sure), attested_forms, "variant").where("attested").select("word", "protected", "variant")
+
+
 def picked(candidates: DataFrame, frequencies: DataFrame) -> DataFrame:
-    """V7: (word, fixed) of `candidates`(word, variant), already attested: the only one, or one that dwarfs the rest."""
+    """V7: (word, fixed, protected) of `candidates`(word, protected, variant), already attested: the only one, or one that dwarfs the rest."""
     counted = candidates.join(frequencies.select(F.col("word").alias("variant"), "n"), "variant", "left").na.fill(0, ["n"])
-    per = Window.partitionBy("word")
+    per = Window.partitionBy("word", "protected")
     ranked = counted.withColumn("k", F.row_number().over(per.orderBy(F.desc("n"), "variant"))).withColumn("all", F.count("*").over(per)).withColumn("rest", F.sum("n").over(per) - F.col("n"))
-    return ranked.where("k = 1").where((F.col("all") == 1) | (F.col("n") >= DOMINANCE * F.greatest(F.lit(1), F.col("rest")))).select("word", F.col("variant").alias("fixed"))
+    return ranked.where("k = 1").where((F.col("all") == 1) | (F.col("n") >= DOMINANCE * F.greatest(F.lit(1), F.col("rest")))).select("word", F.col("variant").alias("fixed"), "protected")
 
 
 def splits(words: DataFrame, seams: DataFrame, attested_forms: DataFrame) -> DataFrame:
     """V8: (word, left, right) where just one cut has both parts attested and seen side by side."""
     cuts = words.where("length(word) >= 4").select("word", F.explode(F.sequence(F.lit(2), F.length("word") - 2)).alias("i")).select("word", F.expr("substring(word, 1, i)").alias("left"), F.expr("substring(word, i + 1)").alias("right"))
     seen = cuts.join(seams.select(F.col("a").alias("left"), F.col("b").alias("right")).distinct(), ["left", "right"], "left_semi")
-    sound = seen.join(attested_forms.select(F.col("word").alias("left")), "left", "left_semi").join(attested_forms.select(F.col("word").alias("right")), "right", "left_semi")
+    sound = lexicon.attested(lexicon.attested(seen, attested_forms, "left").where("attested").drop("attested"), attested_forms, "right").where("attested")
     return sound.groupBy("word").agg(F.count("*").alias("n"), F.min("left").alias("left"), F.min("right").alias("right")).where("n = 1").drop("n")
 
 
 def fixed_point(words: DataFrame, table: DataFrame, attested_forms: DataFrame, frequencies: DataFrame, rounds: int = 2, depth: int = 2) -> DataFrame:
-    """(word, fixed, round): repairs of `words`, the table learned anew from each round's repairs.
+    """(word, fixed, round, protected): repairs of `words`(word[, protected]), the table learned anew from each round's repairs.
 
-    Lineage is cut each round in the shared folder; a round without repairs ends it.
+    The strong table of protected words is learned once.  Lineage is cut each
+    round in the shared folder; a round without repairs ends it.
     """
     out = None
-    left, learned = words.select("word").distinct(), table
+    left, learned, strong = gated(words), table, cut(table.where(F.col("n") >= STRONG))
     for k in range(1, rounds + 1):
-        candidates = variants(left, learned, depth).join(attested_forms.select(F.col("word").alias("variant")), "variant", "left_semi")
-        done = cut(picked(candidates, frequencies).withColumn("round", F.lit(k)))
+        found = candidates(left, learned, attested_forms, depth, strong)
+        done = cut(picked(found, frequencies).select("word", "fixed", F.lit(k).alias("round"), "protected"))
         if done.isEmpty():
             return out if out is not None else done
         out = done if out is None else out.unionByName(done)
-        left = cut(left.join(done, "word", "left_anti"))
+        left = cut(left.join(done, ["word", "protected"], "left_anti"))
         fresh = confusions(done.select(F.col("word").alias("read"), F.col("fixed").alias("true")), 1)
         learned = cut(learned.select("a", "b", "n").unionByName(fresh).groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= FLOOR))
     return out

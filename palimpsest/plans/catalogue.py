@@ -659,15 +659,24 @@ def ref_V3_losers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _broken(spark: SparkSession, d: str) -> DataFrame:
-    forms = lexicon.attested(_forms(spark, d), _lexicon(spark, d)).where("not attested and length(word) >= 3")
-    return forms.select("word")
+    """(word, protected) of the unattested forms of three letters or more.
+
+    An occurrence is protected if its arbitration is sure or another reader of
+    its page has the form; a form may occur both ways.
+    """
+    t = load(spark, d, "tokens", "volume", "page", "text", "why", "alt").where("text is not null")
+    forms = t.select("volume", "page", F.coalesce(F.col("why").isin(*repair.SURE), F.lit(False)).alias("sure"), F.explode(tokens.words("text")).alias("w")).select("volume", "page", "sure", normal.fold("w").alias("word"))
+    held = lexicon.attested(forms.where("length(word) >= 3").distinct(), _lexicon(spark, d)).where("not attested")
+    layer = load(spark, d, "page_lines", "volume", "page", "text").where("text is not null").select("volume", "page", F.explode(F.split("text", " ")).alias("x"))
+    others = t.select("volume", "page", F.explode("alt").alias("a")).select("volume", "page", F.col("a.form").alias("x")).where("x is not null")
+    seen = layer.unionByName(others).select("volume", "page", normal.bare("x").alias("word")).distinct().withColumn("seen", F.lit(True))
+    return held.join(seen, ["volume", "page", "word"], "left").select("word", (F.col("sure") | F.coalesce("seen", F.lit(False))).alias("protected")).distinct()
 
 
 @register()
 def ref_V6_variants(spark: SparkSession, d: str) -> DataFrame:
-    """Attested forms one learned confusion from each unattested form."""
-    made = repair.variants(_broken(spark, d), repair.confusions(_misreadings(spark, d)))
-    return made.join(_lexicon(spark, d).select(F.col("word").alias("variant")), "variant", "left_semi").select("word", "variant")
+    """Attested forms up to two learned confusions from each unattested form, one strong confusion where it is protected."""
+    return repair.candidates(_broken(spark, d), repair.confusions(_misreadings(spark, d)), _lexicon(spark, d))
 
 
 @register()
@@ -696,7 +705,7 @@ def ref_V9_closed(spark: SparkSession, d: str) -> DataFrame:
 def ref_V11_fixed_point(spark: SparkSession, d: str) -> DataFrame:
     """Two rounds of repair, the confusion table learned anew in between."""
     lex = _lexicon(spark, d)
-    return repair.fixed_point(_broken(spark, d), repair.confusions(_misreadings(spark, d)), lex.select("word"), lex)
+    return repair.fixed_point(_broken(spark, d), repair.confusions(_misreadings(spark, d)), lex, lex)
 
 
 # --- spans, windows, ranking, search
@@ -960,10 +969,10 @@ def ref_V5_welds(spark: SparkSession, d: str) -> DataFrame:
 @register()
 def ref_V10_mended(spark: SparkSession, d: str) -> DataFrame:
     """Each broken form with its first repair that holds: closed up, replaced, split."""
-    closed = ref_V9_closed(spark, d).join(load(spark, d, "tokens", "token_id", "text"), "token_id").select(F.col("text").alias("word"), F.col("shut").alias("fixed"), F.lit("closed").alias("how"), F.lit(1).alias("k")).distinct()
-    replaced = ref_V7_picked(spark, d).select("word", "fixed", F.lit("replaced").alias("how"), F.lit(2).alias("k"))
-    cut = ref_V8_splits(spark, d).join(_broken(spark, d), "word", "left_semi").select("word", F.concat_ws(" ", "left", "right").alias("fixed"), F.lit("split").alias("how"), F.lit(3).alias("k"))
-    return closed.unionByName(replaced).unionByName(cut).groupBy("word").agg(F.min_by("fixed", "k").alias("fixed"), F.min_by("how", "k").alias("how"))
+    closed = ref_V9_closed(spark, d).join(load(spark, d, "tokens", "token_id", "text"), "token_id").select(F.col("text").alias("word"), F.lit(None).cast("boolean").alias("protected"), F.col("shut").alias("fixed"), F.lit("closed").alias("how"), F.lit(1).alias("k")).distinct()
+    replaced = ref_V7_picked(spark, d).select("word", "protected", "fixed", F.lit("replaced").alias("how"), F.lit(2).alias("k"))
+    cut = ref_V8_splits(spark, d).join(_broken(spark, d).where("not protected"), "word").select("word", "protected", F.concat_ws(" ", "left", "right").alias("fixed"), F.lit("split").alias("how"), F.lit(3).alias("k"))
+    return closed.unionByName(replaced).unionByName(cut).groupBy("word", "protected").agg(F.min_by("fixed", "k").alias("fixed"), F.min_by("how", "k").alias("how"))
 
 
 @register()

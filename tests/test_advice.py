@@ -34,3 +34,18 @@ def test_g4_reads_each_length_by_itself():
     for _ in range(200):
         a, b = ("".join(rng.choice("אבג") for _ in range(80)) for _ in range(2))
         assert quotation.run_counts(a, b) == [len(quotation.runs(a, b, n)) for n in quotation.LENGTHS]
+
+
+def test_repairs_accept_prefixed_words_and_two_letters(spark):
+    from palimpsest.operators import repair
+
+    lex = spark.createDataFrame([("שלום", 5), ("דבר", 4)], "word string, n long")
+    table = spark.createDataFrame([("ס", "ש", 20), ("ז", "ו", 2)], "a string, b string, n long")
+    words = spark.createDataFrame([("וסלום", False), ("סלזם", False), ("סלזם", True), ("סלום", True)], "word string, protected boolean")
+    found = {tuple(r) for r in repair.candidates(words, table, lex).collect()}
+    # one letter behind a particle; two letters only where the form is free
+    assert found == {("וסלום", False, "ושלום"), ("סלזם", False, "שלום"), ("סלום", True, "שלום")}
+    seams = spark.createDataFrame([("ושלום", "הדבר")], "a string, b string")
+    forms = spark.createDataFrame([("ושלוםהדבר",)], "word string")
+    assert [tuple(r) for r in repair.splits(forms, seams, lex).collect()] == [("ושלוםהדבר", "ושלום", "הדבר")]
+    assert {tuple(r) for r in repair.fixed_point(words, table, lex, lex).select("word", "fixed", "protected").collect()} == {("וסלום", "ושלום", False), ("סלזם", "שלום", False), ("סלום", "שלום", True)}
