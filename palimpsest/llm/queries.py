@@ -235,27 +235,37 @@ def p2_pages(spark: SparkSession, d: str) -> DataFrame:
     return _scan_noise(spark, d).select("tbl", "volume", "page", "unit", "elem", "text")
 
 
-def _sentence_ends(spark: SparkSession, d: str) -> DataFrame:
+def _sentence_words(spark: SparkSession, d: str) -> list[tuple[str, str]]:
     words = [(r[0], r[1]) for r in load(spark, d, "common_words", "lang", "word").where("word is not null").limit(10_001).collect()]
     if len(words) > 10_000:
         raise ValueError("function word lists are short; this one holds more than 10,000 words")
-    lines = load(spark, d, "page_lines", "line_id", "volume", "page", "line_no", "zone", "text")
-    return sentences.sentence_ends(load(spark, d, "addenda_munich", "addenda_id", "text"), lines, words)
+    return words
+
+
+def _sentence_lines(spark: SparkSession, d: str) -> DataFrame:
+    return load(spark, d, "page_lines", "line_id", "volume", "page", "line_no", "zone", "text")
 
 
 @query
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """Every sentence end."""
-    return _sentence_ends(spark, d)
+    return sentences.sentence_ends(load(spark, d, "addenda_munich", "addenda_id", "text"), _sentence_lines(spark, d), _sentence_words(spark, d))
 
 
 @query
 def p6_sentences(spark: SparkSession, d: str) -> DataFrame:
-    """Sentence units of every addenda paragraph: from one end to the next."""
-    cut = _sentence_ends(spark, d).where("tbl = 'addenda_munich'").groupBy("row_id", "elem").agg(F.array_sort(F.collect_set("end_at")).alias("e"))
+    """Sentence units from one end to the next: of every addenda paragraph, and of the page lines over lines and pages (row_id: the line a unit opens in)."""
+    words = _sentence_words(spark, d)
+    cut = sentences.sentence_ends(load(spark, d, "addenda_munich", "addenda_id", "text"), None, words).groupBy("row_id", "elem").agg(F.array_sort(F.collect_set("end_at")).alias("e"))
     texts = load(spark, d, "addenda_munich", "addenda_id", "text").select(F.col("addenda_id").alias("row_id"), F.posexplode("text").alias("elem", "text")).where("text is not null")
     spans_ = F.expr("transform(e, (x, i) -> trim(both ' \\n' from substring(text, if(i = 0, 0, e[i - 1]) + 1, x - if(i = 0, 0, e[i - 1]))))")
-    return texts.join(cut, ["row_id", "elem"]).select("row_id", "elem", F.posexplode(spans_).alias("sentence_no", "sentence"))
+    paragraphs = texts.join(cut, ["row_id", "elem"]).select("row_id", "elem", F.posexplode(spans_).alias("sentence_no", "sentence"))
+    path = scratch(spark, "pieces")
+    sentences.line_pieces(_sentence_lines(spark, d), words).write.parquet(path)
+    lines = sentences.line_sentences(spark.read.parquet(path))
+    none = lambda kind: F.lit(None).cast(kind)
+    own = paragraphs.select(F.lit("addenda_munich").alias("tbl"), none("string").alias("volume"), none("int").alias("page"), none("string").alias("zone"), "row_id", "elem", F.col("sentence_no").cast("long").alias("sentence_no"), "sentence")
+    return own.unionByName(lines.select(F.lit("page_lines").alias("tbl"), "volume", "page", "zone", "row_id", F.lit(0).alias("elem"), "sentence_no", "sentence"))
 
 
 @query

@@ -19,10 +19,11 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.llm.scans import _DECORATED, _LETTER_NUMBER, _NUMBER, SHORT, furniture, numeral
+from palimpsest.operators import windows
 
 INVISIBLE = "​‌‍‎‏‪‫‬‭‮⁠⁡⁢⁣⁤⁦⁧⁨⁩﻿"
 _HIDDEN = re.compile(f"[{INVISIBLE}]")
@@ -214,6 +215,75 @@ def _languages(shared: tuple) -> Languages:
     return _LANGUAGES[shared[0]]
 
 
+def _gathered(lines: DataFrame) -> DataFrame:
+    """(volume, page, alone, rows, before, after) of the lines of each page and three body lines of the pages beside it."""
+    rows = lines.where("text is not null").select(F.col("line_id").alias("row_id"), "volume", "page", F.col("line_no").alias("at"), "text", F.coalesce(F.col("zone") == "notes", F.lit(False)).alias("notes"))
+    alone = F.when(F.col("volume").isNull() | F.col("page").isNull(), F.col("row_id"))
+    pages = rows.groupBy("volume", "page", alone.alias("alone")).agg(F.array_sort(F.collect_list(F.struct("at", "row_id", "text", "notes"))).alias("rows"))
+    body = F.expr("transform(filter(rows, r -> not r.notes), r -> r.text)")
+    edge = pages.where("alone is null").select("volume", "page", body.alias("b")).where("size(b) > 0").select("volume", "page", F.expr("slice(b, 1, 3)").alias("head"), F.expr("slice(b, -least(size(b), 3), 3)").alias("tail"))
+    past = edge.select("volume", (F.col("page") + 1).alias("page"), F.col("tail").alias("before"))
+    come = edge.select("volume", (F.col("page") - 1).alias("page"), F.col("head").alias("after"))
+    return pages.join(past, ["volume", "page"], "left").join(come, ["volume", "page"], "left")
+
+
+def page_pieces(rows: list[dict], before: list[str], after: list[str], languages: Languages) -> list[tuple[bool, int, str, bool]]:
+    """(notes, row id, piece, whether a sentence ends with it) of a page's lines in reading order, each place once, without furniture."""
+    seen, first = set(), []
+    for r in rows:
+        if r["at"] is None or r["at"] not in seen:
+            first.append(r)
+        seen.add(r["at"])
+    cuts: dict[int, list[int]] = {}
+    for row, end in sorted(set(_read(first, before, after, languages))):
+        cuts.setdefault(row, []).append(end)
+    kinds = furniture([r["text"] for r in first], foot=max((i for i, r in enumerate(first) if not r["notes"]), default=None))
+    out = []
+    for r in (r for r, k in zip(first, kinds) if not k):
+        at = 0
+        for end in (*cuts.get(r["row_id"], ()), len(r["text"])):
+            if piece := r["text"][at:end].strip(" \n"):
+                out.append((bool(r["notes"]), r["row_id"], piece, end in cuts.get(r["row_id"], ())))
+            at = end
+    return out
+
+
+_PIECES = "volume string, page int, alone long, notes boolean, k int, row_id long, piece string, closes int"
+
+
+def line_pieces(lines: DataFrame, words: list[tuple[str, str]]) -> DataFrame:
+    """The pieces between sentence ends of all lines; k is their order in the page."""
+    shared = uuid.uuid4().hex, lines.sparkSession.sparkContext.broadcast(words)
+
+    def of_pages(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        languages = _languages(shared)
+        for frame in frames:
+            out = []
+            for volume, page, alone, own, past, come in zip(*(frame[c].astype(object) for c in ("volume", "page", "alone", "rows", "before", "after"))):
+                found = page_pieces(list(own), [] if past is None else list(past), [] if come is None else list(come), languages)
+                key = [None if pd.isna(x) else x for x in (volume, page, alone)]
+                out += [(*key, notes, k, row, piece, int(closes)) for k, (notes, row, piece, closes) in enumerate(found)]
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in _PIECES.split(", ")]).astype({"page": "Int32", "alone": "Int64"})
+
+    return _gathered(lines).mapInPandas(of_pages, _PIECES)
+
+
+def line_sentences(pieces: DataFrame) -> DataFrame:
+    """(volume, page, zone, row_id, sentence_no, sentence) of `pieces`, which several stages read.
+
+    An open sentence of the body goes on over lines and pages to its end in
+    the volume; numbers run through the volume, summed in buckets of pages.
+    Notes and lines without a page end with their page.
+    """
+    body = pieces.where("not notes and alone is null").withColumn("slot", F.floor(F.col("page") / 64))
+    running = windows.running_sum(body, ["volume"], "slot", ["page", "k"], "closes", "upto").withColumn("part", F.lit(None).cast("int"))
+    inside = Window.partitionBy("volume", "page", "alone", "notes").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    others = pieces.where("notes or alone is not null").withColumn("upto", F.sum("closes").over(inside)).withColumn("part", F.col("page"))
+    names = ["volume", "part", "alone", "notes", "page", "k", "row_id", "piece", (F.col("upto") - F.col("closes")).alias("sentence_no")]
+    gathered = running.select(*names).unionByName(others.select(*names)).groupBy("volume", "part", "alone", "notes", "sentence_no").agg(F.array_sort(F.collect_list(F.struct("page", "k", "row_id", "piece"))).alias("p"))
+    return gathered.select("volume", F.expr("p[0].page").alias("page"), F.when(F.col("notes"), "notes").otherwise("body").alias("zone"), F.expr("p[0].row_id").alias("row_id"), "sentence_no", F.expr("array_join(transform(p, x -> x.piece), '\n')").alias("sentence"))
+
+
 _OUT = "tbl string, row_id long, elem int, end_at int"
 
 
@@ -237,14 +307,7 @@ def sentence_ends(addenda: DataFrame | None, lines: DataFrame | None, words: lis
 
         parts.append(texts.mapInPandas(of_paragraphs, _OUT))
     if lines is not None:
-        rows = lines.where("text is not null").select(F.col("line_id").alias("row_id"), "volume", "page", F.col("line_no").alias("at"), "text", F.coalesce(F.col("zone") == "notes", F.lit(False)).alias("notes"))
-        alone = F.when(F.col("volume").isNull() | F.col("page").isNull(), F.col("row_id"))
-        pages = rows.groupBy("volume", "page", alone.alias("alone")).agg(F.array_sort(F.collect_list(F.struct("at", "row_id", "text", "notes"))).alias("rows"))
-        body = F.expr("transform(filter(rows, r -> not r.notes), r -> r.text)")
-        edge = pages.where("alone is null").select("volume", "page", body.alias("b")).where("size(b) > 0").select("volume", "page", F.expr("slice(b, 1, 3)").alias("head"), F.expr("slice(b, -least(size(b), 3), 3)").alias("tail"))
-        past = edge.select("volume", (F.col("page") + 1).alias("page"), F.col("tail").alias("before"))
-        come = edge.select("volume", (F.col("page") - 1).alias("page"), F.col("head").alias("after"))
-        joined = pages.join(past, ["volume", "page"], "left").join(come, ["volume", "page"], "left").select("rows", "before", "after")
+        joined = _gathered(lines).select("rows", "before", "after")
 
         def of_pages(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             languages = _languages(shared)

@@ -49,3 +49,28 @@ def test_repairs_accept_prefixed_words_and_two_letters(spark):
     forms = spark.createDataFrame([("ושלוםהדבר",)], "word string")
     assert [tuple(r) for r in repair.splits(forms, seams, lex).collect()] == [("ושלוםהדבר", "ושלום", "הדבר")]
     assert {tuple(r) for r in repair.fixed_point(words, table, lex, lex).select("word", "fixed", "protected").collect()} == {("וסלום", "ושלום", False), ("סלזם", "שלום", False), ("סלום", "שלום", True)}
+
+
+def test_p6_sentences_run_over_lines_and_pages(spark, tmp_path):
+    from palimpsest.llm import queries
+
+    body = ["The first line of the page stands here and", "goes on. A second one begins on this line", "and is still open at the foot of the page"]
+    more = ["when the next page takes it up again. And", "a third one has no end before the volume ends"]
+    lines = [(k + 1, "V", 1, k + 1, "body", t) for k, t in enumerate(body)] + [(9, "V", 1, 4, "notes", "a note of its own without any stop at all"), (5, "V", 2, 1, "body", more[0]), (6, "V", 2, 2, "body", more[1]), (7, None, None, 1, "body", "a line that has no page"), (8, "V", 2, 2, "body", more[1])]
+    d = written(
+        spark,
+        tmp_path,
+        page_lines=(lines, "line_id long, volume string, page int, line_no int, zone string, text string"),
+        addenda_munich=([(1, ["One here. Two there."])], "addenda_id long, text array<string>"),
+        common_words=([("en", "the"), ("en", "of")], "lang string, word string"),
+    )
+    found = {(r["tbl"], r["row_id"], r["sentence_no"]): r["sentence"] for r in queries.QUERIES["p6_sentences"](spark, d).collect()}
+    assert found == {
+        ("addenda_munich", 1, 0): "One here.",
+        ("addenda_munich", 1, 1): "Two there.",
+        ("page_lines", 1, 0): body[0] + "\ngoes on.",
+        ("page_lines", 2, 1): "A second one begins on this line\n" + body[2] + "\nwhen the next page takes it up again.",
+        ("page_lines", 5, 2): "And\n" + more[1],
+        ("page_lines", 9, 0): "a note of its own without any stop at all",
+        ("page_lines", 7, 0): "a line that has no page",
+    }
