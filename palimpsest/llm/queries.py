@@ -231,8 +231,10 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def p2_pages(spark: SparkSession, d: str) -> DataFrame:
-    """Reflowed text of every page and every addenda paragraph, without furniture, breaks and misreadings."""
-    return _scan_noise(spark, d).select("tbl", "volume", "page", "unit", "elem", "text")
+    """Reflowed text of every page and every addenda paragraph, without furniture, breaks and misreadings; a word broken over two pages stands whole on the second."""
+    path = scratch(spark, "pages")
+    _scan_noise(spark, d).drop("noise").write.parquet(path)
+    return scans.joined_pages(spark.read.parquet(path)).select("tbl", "volume", "page", "unit", "elem", "text")
 
 
 def _sentence_words(spark: SparkSession, d: str) -> list[tuple[str, str]]:

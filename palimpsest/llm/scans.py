@@ -147,8 +147,8 @@ def furniture(texts: list[str], edge_only: bool = True, foot: int | None = None)
     return kinds
 
 
-def read_unit(lines: list[Line], kinds: list[str], reader: Reader, carry: str = "") -> tuple[list[tuple[int, str]], str]:
-    """((row, kind) of the noise, reflowed text) of lines whose furniture is known.
+def read_unit(lines: list[Line], kinds: list[str], reader: Reader, carry: str = "") -> tuple[list[tuple[int, str]], str, str | None]:
+    """((row, kind) of the noise, reflowed text, the word left open at its end) of lines whose furniture is known.
 
     `carry`: the first part of a word that the page before left broken.
     """
@@ -196,7 +196,7 @@ def read_unit(lines: list[Line], kinds: list[str], reader: Reader, carry: str =
         elif row is not None and not (cut and best[cut - len(core) :] == core[cut:]):
             noise.append((row, "misread"))
         out.append(word.replace(word.strip(_EDGES), best, 1))
-    return sorted(set(noise)), " ".join(out)
+    return sorted(set(noise)), " ".join(out), None if part is None else part[1]
 
 
 def _whole(first: str, rest: str) -> str:
@@ -228,7 +228,8 @@ def reader_of(shared: tuple) -> Reader:
     return _READERS[shared[0]]
 
 
-_OUT = "tbl string, volume string, page int, unit long, elem int, noise array<struct<row_id:long,kind:string>>, text string"
+_OUT = "tbl string, volume string, page int, unit long, elem int, noise array<struct<row_id:long,kind:string>>, text string, shut string, tail string, took string"
+_NAMES = [c.split()[0] for c in _OUT.split(", ")]
 
 
 def _pages(rows: DataFrame, order: str) -> DataFrame:
@@ -285,7 +286,9 @@ def _carry(before: list[dict] | None, tbl: str) -> str:
         return ""
     for r in reversed([x for x in before if not (tbl == "page_lines" and x["fresh"])]):
         text = r["text"].strip()
-        if _NUMBER.fullmatch(text) or _LETTER_NUMBER.fullmatch(text):
+        # a short first part looks like a letter number, but does not stand alone on its line
+        open_word = tbl == "tokens" and not r["fresh"] and _BREAK.search(text)
+        if _NUMBER.fullmatch(text) or not re.search(r"\w", text) or _LETTER_NUMBER.fullmatch(text) and not open_word:
             continue
         return text.split(" ")[-1] if _BREAK.search(text) else ""
     return ""
@@ -293,33 +296,48 @@ def _carry(before: list[dict] | None, tbl: str) -> str:
 
 def page_noise(rows: list[dict], before: list[dict] | None, reader: Reader, tbl: str) -> tuple[list[tuple[int, str]], str]:
     """(row id, kind) and reflowed text of one page of tokens or lines."""
+    return whole_page(rows, before, reader, tbl)[:2]
+
+
+def whole_page(rows: list[dict], before: list[dict] | None, reader: Reader, tbl: str) -> tuple[list[tuple[int, str]], str, str | None, str | None, str | None]:
+    """`page_reading` of a page whose rows may be repeated."""
     first, again = _once(rows)
-    noise, text = _one_reading(first, before, reader, tbl)
+    noise, *read = page_reading(first, before, reader, tbl)
     by_place = {r["at"]: r for r in first}
     for r in again:
         if r["text"] == by_place[r["at"]]["text"]:
             noise += [(r["row_id"], k) for i, k in noise if i == by_place[r["at"]]["row_id"]]
         else:
             swapped = [r if x["at"] == r["at"] else x for x in first]
-            noise += [(i, k) for i, k in _one_reading(swapped, before, reader, tbl)[0] if i == r["row_id"]]
-    return noise, text
+            noise += [(i, k) for i, k in page_reading(swapped, before, reader, tbl)[0] if i == r["row_id"]]
+    return noise, *read
 
 
-def _one_reading(rows: list[dict], before: list[dict] | None, reader: Reader, tbl: str) -> tuple[list[tuple[int, str]], str]:
-    carry = _carry(before, tbl)
+def page_reading(rows: list[dict], before: list[dict] | None, reader: Reader, tbl: str) -> tuple[list[tuple[int, str]], str, str | None, str | None, str | None]:
+    """(noise, text, text without its open last word, that word, the open word taken over from the page before).
+
+    A page of nothing but furniture takes no word over.
+    """
     if tbl == "tokens":
-        lines = [[(r["row_id"], r["text"]) for r in line] for line in token_lines(rows)]
-        return read_unit(lines, furniture([" ".join(w for _, w in line) for line in lines]), reader, carry)
-    kinds = furniture([r["text"] for r in rows], foot=max((i for i, r in enumerate(rows) if not r["fresh"]), default=None))
-    noise, text = [], []
-    for notes in (False, True):
-        own = [(r, k) for r, k in zip(rows, kinds) if r["fresh"] == notes]
-        lines = [[(r["row_id"], w) for w in r["text"].split(" ") if w] for r, _ in own]
-        found, flowed = read_unit(lines, [k for _, k in own], reader, "" if notes else carry)
-        noise += found
-        if flowed:
-            text.append(flowed)
-    return noise, "\n".join(text)
+        body = [[(r["row_id"], r["text"]) for r in line] for line in token_lines(rows)]
+        kinds = furniture([" ".join(w for _, w in line) for line in body])
+        notes, note_kinds = [], []
+    else:
+        found = furniture([r["text"] for r in rows], foot=max((i for i, r in enumerate(rows) if not r["fresh"]), default=None))
+        zone = lambda own: [([(r["row_id"], w) for w in r["text"].split(" ") if w], k) for r, k in zip(rows, found) if r["fresh"] == own]
+        body, kinds = [x for x, _ in zone(False)], [k for _, k in zone(False)]
+        notes, note_kinds = [x for x, _ in zone(True)], [k for _, k in zone(True)]
+    carry = _carry(before, tbl) if any(line and not kind for line, kind in zip(body, kinds)) else ""
+    noise, flowed, tail = read_unit(body, kinds, reader, carry)
+    below, noted, _ = read_unit(notes, note_kinds, reader)
+    shut = None if tail is None else "\n".join(t for t in (flowed[: len(flowed) - len(tail)].rstrip(" "), noted) if t)
+    return noise + below, "\n".join(t for t in (flowed, noted) if t), shut, tail, carry or None
+
+
+def joined_pages(readings: DataFrame) -> DataFrame:
+    """`readings`, which are looked at twice, with the open last word dropped from the text of a page whose next page took it over."""
+    took = readings.where("took is not null").select("tbl", "volume", (F.col("page") - 1).alias("page"), F.col("took").alias("_next"))
+    return readings.join(took, ["tbl", "volume", "page"], "left").withColumn("text", F.when(F.col("_next") == F.col("tail"), F.col("shut")).otherwise(F.col("text"))).drop("_next")
 
 
 def _run_pages(frames: Iterator[pd.DataFrame], shared, tbl: str) -> Iterator[pd.DataFrame]:
@@ -327,9 +345,9 @@ def _run_pages(frames: Iterator[pd.DataFrame], shared, tbl: str) -> Iterator[pd.
     for frame in frames:
         out = []
         for volume, page, rows, before in zip(frame["volume"], frame["page"], frame["rows"], frame["before"]):
-            noise, text = page_noise(list(rows), None if before is None else list(before), reader, tbl)
-            out.append((tbl, volume, page, None, 0, [{"row_id": i, "kind": k} for i, k in sorted(set(noise))], text))
-        yield pd.DataFrame(out, columns=["tbl", "volume", "page", "unit", "elem", "noise", "text"])
+            noise, *read = whole_page(list(rows), None if before is None else list(before), reader, tbl)
+            out.append((tbl, volume, page, None, 0, [{"row_id": i, "kind": k} for i, k in sorted(set(noise))], *read))
+        yield pd.DataFrame(out, columns=_NAMES)
 
 
 def paragraph_noise(text: str, reader: Reader) -> tuple[set[str], str]:
@@ -341,7 +359,7 @@ def paragraph_noise(text: str, reader: Reader) -> tuple[set[str], str]:
         # a short line may be the rest of the word that the line before broke
         if kinds[i] == "header" and len(lines[i]) == 1 and _BREAK.search(texts[i - 1]) and reader.knows(_whole(lines[i - 1][-1][1], lines[i][0][1])):
             kinds[i] = ""
-    noise, flowed = read_unit(lines, kinds, reader)
+    noise, flowed, _ = read_unit(lines, kinds, reader)
     return {k for _, k in noise}, flowed
 
 
@@ -351,5 +369,5 @@ def _run_addenda(frames: Iterator[pd.DataFrame], shared) -> Iterator[pd.DataFram
         out = []
         for key, elem, text in zip(frame["addenda_id"], frame["elem"], frame["text"]):
             kinds, flowed = paragraph_noise(text, reader)
-            out.append(("addenda_munich", None, None, key, elem, [{"row_id": key, "kind": k} for k in sorted(kinds)], flowed))
-        yield pd.DataFrame(out, columns=["tbl", "volume", "page", "unit", "elem", "noise", "text"])
+            out.append(("addenda_munich", None, None, key, elem, [{"row_id": key, "kind": k} for k in sorted(kinds)], flowed, None, None, None))
+        yield pd.DataFrame(out, columns=_NAMES)

@@ -74,3 +74,26 @@ def test_p6_sentences_run_over_lines_and_pages(spark, tmp_path):
         ("page_lines", 9, 0): "a note of its own without any stop at all",
         ("page_lines", 7, 0): "a line that has no page",
     }
+
+
+def test_p2_pages_hold_a_word_broken_over_pages_once(spark, tmp_path):
+    from palimpsest.llm import queries
+
+    long = "standing words fill the whole width of it"
+    tokens = [(k, "V", page, k, w, k in (1, 7)) for page, row in ((1, "some plain words stand here frag-"), (2, "ment goes on over the page"), (3, "open to the last frag-")) for k, w in enumerate(row.split(), 1)]
+    lines = [(1, "V", 1, 1, "body", long), (2, "V", 1, 2, "body", "and its last word is bro-"), (3, "V", 1, 3, "notes", "a note below"), (4, "V", 2, 1, "body", "ken over the page and goes"), (5, "V", 2, 2, "body", long)]
+    words = "some plain words stand here fragment goes on over the page open to last standing fill whole width of it and its word is broken a note below".split()
+    d = written(
+        spark,
+        tmp_path,
+        tokens=([(n, *t[1:]) for n, t in enumerate(tokens)], "token_id long, volume string, page int, pos int, text string, nl boolean"),
+        page_lines=(lines, "line_id long, volume string, page int, line_no int, zone string, text string"),
+        addenda_munich=([(1, ["plain words"])], "addenda_id long, text array<string>"),
+        corpus=([("en", " ".join(words))], "lang string, text string"),
+        common_words=([("en", "the")], "lang string, word string"),
+    )
+    found = {(r["tbl"], r["page"]): r["text"] for r in queries.QUERIES["p2_pages"](spark, d).collect()}
+    assert found["tokens", 1] == "some plain words stand here" and found["tokens", 2] == "fragment goes on over the page"
+    assert found["tokens", 3] == "open to the last frag-"  # nothing follows
+    assert found["page_lines", 1] == long + " and its last word is\na note below"
+    assert found["page_lines", 2] == "broken over the page and goes " + long
