@@ -52,6 +52,11 @@ def _compatibility() -> tuple[str, str, list[tuple[str, str]]]:
     return "".join(single), "".join(plain), longer
 
 
+def _wide() -> str:
+    """The signs of several letters from U+FBB2 on: ligatures of Arabic and wide forms."""
+    return "".join(sign for sign, _ in _compatibility()[2] if ord(sign) >= 0xFBB2)
+
+
 def _quoted(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
@@ -60,21 +65,24 @@ def _class(chars: str) -> str:
     return "".join(rf"\x{{{ord(c):X}}}" for c in chars)
 
 
-def statement(keep: list[str]) -> str:
+def statement(keep: list[str], wide: bool = True) -> str:
     """DuckDB SQL over a view batch(keep…, t): keep, canonical, disguised.
 
+    Without `wide`, for batches free of the signs of `_wide`, which are many and
+    rare, the planner is spared their replacements.
+
     Rows of plain letters skip the work; for the others every stage is one
     projection, so no expression is evaluated twice.
     """
     single, plain_forms, longer = _compatibility()
     strange = _class(single + "".join(s for s, _ in longer))
-    split = "t2"
+    split, rare = "t2", _wide()
     for sign, letters in longer:
-        if ord(sign) < 0xFBB2:
+        if wide or sign not in rare:
             split = f"replace({split}, {_quoted(sign)}, {_quoted(letters)})"
     others = {a: "".join(rf"\p{{{b}}}" for b in ALPHABETS if b != a) for a in ALPHABETS}
     mixed = "|".join(rf"\p{{{a}}}\p{{M}}*[{rest}]" for a, rest in others.items())
-    both = r"regexp_matches({0}, '\p{{Latin}}') AND regexp_matches({0}, '[\x{{370}}-\x{{6FF}}\x{{13A0}}-\x{{13FF}}\x{{2C80}}-\x{{2CFF}}]') OR regexp_matches({0}, '[\x{{370}}-\x{{58F}}]') AND regexp_matches({0}, '[\x{{590}}-\x{{6FF}}]')"
+    both = "(" + " + ".join(rf"regexp_matches(base, '\p{{{a}}}')::INTEGER" for a in ALPHABETS) + ") >= 2"
     latin = f"translate(w, {_quoted(CYRILLIC + GREEK)}, {_quoted(CYRILLIC_AS_LATIN + GREEK_AS_LATIN)})"
     cyrillic = f"translate(w, {_quoted(CYRILLIC_AS_LATIN)}, {_quoted(CYRILLIC)})"
     by_word = (
@@ -89,7 +97,7 @@ def statement(keep: list[str]) -> str:
     SELECT {own} t AS canonical, false AS disguised FROM batch WHERE {plain}
     UNION ALL
     SELECT {own} CASE WHEN mixed THEN {by_word} ELSE base END, odd OR mixed OR composed <> t
-    FROM (SELECT *, CASE WHEN {both.format('base')} THEN regexp_matches(base, '{mixed}') ELSE false END AS mixed FROM
+    FROM (SELECT *, CASE WHEN {both} THEN regexp_matches(base, '{mixed}') ELSE false END AS mixed FROM
       (SELECT *, nfc_normalize(CASE WHEN odd THEN {split} ELSE t2 END) AS base, nfc_normalize(t) AS composed FROM
         (SELECT *, CASE WHEN odd THEN translate(t1, {_quoted(single)}, {_quoted(plain_forms)}) ELSE t1 END AS t2 FROM
           (SELECT *, regexp_matches(t, '[{INVISIBLE}{SPACES}{strange}]') AS odd,
@@ -105,7 +113,8 @@ def normalise(frame: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
     """
     if {"canonical", "disguised"} & set(keep):
         raise ValueError("kept columns clash with the outputs canonical and disguised")
-    sql = statement(keep)
+    plain, full = statement(keep, False), statement(keep)
+    rare = f"SELECT coalesce(bool_or(regexp_matches(t, '[{_class(_wide())}]')), false) FROM batch"
     source = frame.select(*keep, F.col(text_col).alias("t"))
     schema = ", ".join(f"`{n}` {t}" for n, t in source.dtypes[:-1]) + ", canonical string, disguised boolean"
 
@@ -116,6 +125,7 @@ def normalise(frame: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
         try:
             for piece in batches:
                 connection.register("batch", pa.Table.from_batches([piece]))
+                sql = full if connection.execute(rare).fetchone()[0] else plain
                 table = connection.execute(sql).to_arrow_table()
                 connection.unregister("batch")
                 target = pa.schema([*[f for f in piece.schema if f.name != "t"], pa.field("canonical", pa.string()), pa.field("disguised", pa.bool_())])

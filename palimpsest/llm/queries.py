@@ -48,24 +48,26 @@ def p1_repaired(spark: SparkSession, d: str) -> DataFrame:
     return _repaired_gold(spark, d).where("garbled").select("gold_id", "field", "elem", "text", "repaired")
 
 
-def _canonical(spark: SparkSession, d: str) -> DataFrame:
+def _canonical(spark: SparkSession, d: str, garbled: bool) -> DataFrame:
+    """Canonical values; `garbled`: whether the gold texts p1 calls garbled are among them, as it restored them."""
     gold = load(spark, d, "gold", "gold_id", "text")
     words = [w for _, w, _ in clean_words(spark, d)]
-    sound = mojibake.repair_fields(gold, words).where("not garbled").select("gold_id", "text")
-    tables = {"gold": sound, "tokens": load(spark, d, "tokens", "token_id", "text"), "addenda_munich": load(spark, d, "addenda_munich", "addenda_id", "text")}
+    read = mojibake.repair_fields(gold, words)
+    own = read.select("gold_id", F.when(F.col("garbled"), F.col("repaired")).otherwise(F.col("text")).alias("text")) if garbled else read.where("not garbled").select("gold_id", "text")
+    tables = {"gold": own, "tokens": load(spark, d, "tokens", "token_id", "text"), "addenda_munich": load(spark, d, "addenda_munich", "addenda_id", "text")}
     return canonical.normalise(canonical.long_form(tables), "text", ["tbl", "row_id", "elem"])
 
 
 @query
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """Values with a disguised character."""
-    return _canonical(spark, d).where("disguised").select("tbl", "row_id", "elem")
+    return _canonical(spark, d, False).where("disguised").select("tbl", "row_id", "elem")
 
 
 @query
 def p3_canonical(spark: SparkSession, d: str) -> DataFrame:
     """Every value in its one consistent form."""
-    return _canonical(spark, d).select("tbl", "row_id", "elem", "canonical", "disguised")
+    return _canonical(spark, d, True).select("tbl", "row_id", "elem", "canonical", "disguised")
 
 
 #: A term is common above these shares of a field's records, rare below this many records.

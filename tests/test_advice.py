@@ -97,3 +97,25 @@ def test_p2_pages_hold_a_word_broken_over_pages_once(spark, tmp_path):
     assert found["tokens", 3] == "open to the last frag-"  # nothing follows
     assert found["page_lines", 1] == long + " and its last word is\na note below"
     assert found["page_lines", 2] == "broken over the page and goes " + long
+
+
+def test_p3_canonical_takes_garbled_texts_ligatures_and_any_two_scripts(spark, tmp_path):
+    from palimpsest.llm import queries
+
+    hebrew = "שלום דברים"
+    garbled = hebrew.encode().decode("latin-1")
+    d = written(
+        spark,
+        tmp_path,
+        gold=([(1, garbled), (2, "plain")], "gold_id long, text string"),
+        tokens=([(1, "ﻻ"), (2, "ﷲ"), (3, "Ωж"), (4, "שب"), (5, "Ω ж ש")], "token_id long, text string"),
+        addenda_munich=([(1, ["one"])], "addenda_id long, text array<string>"),
+        corpus=([("he", hebrew)], "lang string, text string"),
+        common_words=([("en", "the")], "lang string, word string"),
+    )
+    rows = {(r["tbl"], r["row_id"]): (r["canonical"], r["disguised"]) for r in queries.QUERIES["p3_canonical"](spark, d).collect()}
+    assert rows["gold", 1] == (hebrew, False) and len(rows) == 8
+    assert rows["tokens", 1] == ("لا", True) and rows["tokens", 2] == ("الله", True)
+    assert [rows["tokens", k][1] for k in (3, 4, 5)] == [True, True, False]
+    found = {(r["tbl"], r["row_id"]) for r in queries.QUERIES["p3_found"](spark, d).collect()}
+    assert found == {("tokens", k) for k in (1, 2, 3, 4)}
