@@ -39,7 +39,7 @@ def measures(common: list[str]) -> dict[str, str]:
     share = lambda test: f"size(filter(w, x -> {test})) / greatest(size(w), 1)"
     return {
         "words": "size(w)",
-        "mean_word_length": "(n - (size(w) - 1) * 1.0) / greatest(size(w), 1)",
+        "mean_word_length": "aggregate(w, 0, (s, x) -> s + length(x)) / greatest(size(w), 1)",
         "symbol_ratio": f"{left(r'[\p{L}\p{M}\p{N}\s]')} / n",
         "punctuated_lines": lines(f"x rlike {_sql(_TERMINAL)}"),
         "common_words": share(f"lower(x) in ({words})"),

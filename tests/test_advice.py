@@ -119,3 +119,11 @@ def test_p3_canonical_takes_garbled_texts_ligatures_and_any_two_scripts(spark, t
     assert [rows["tokens", k][1] for k in (3, 4, 5)] == [True, True, False]
     found = {(r["tbl"], r["row_id"]) for r in queries.QUERIES["p3_found"](spark, d).collect()}
     assert found == {("tokens", k) for k in (1, 2, 3, 4)}
+
+
+def test_p9_mean_word_length_counts_letters_of_words_only(spark):
+    from palimpsest.llm import quality
+
+    docs = spark.createDataFrame([(1, "ab cd"), (2, "  ab      cd\n\n\n\t ef \n"), (3, "")], "doc_id int, text string")
+    found = {r["doc_id"]: r["mean_word_length"] for r in quality.with_measures(docs, []).collect()}
+    assert found == {1: 2.0, 2: 2.0, 3: 0.0}
