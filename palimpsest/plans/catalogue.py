@@ -1014,7 +1014,7 @@ def ref_J8_seams(spark: SparkSession, d: str) -> DataFrame:
     stops = tokens.spans(lines, "unit", "text")
     cuts = stops.where(F.col("token").rlike("[.!?׃]$")).select("unit", F.col("end_at").alias("cut")).unionByName(lines.select("unit", F.length("text").cast("long").alias("cut"))).distinct()
     shown = _display(spark, d).select(F.col("line_id").alias("unit"), F.when(F.col("start_at") % 2 == 0, "a").otherwise("b").alias("side"), "start_at", "end_at")
-    heads = stops.where(F.col("token").rlike(r"^\\d+$")).select("unit", F.col("start_at").alias("at"))
+    heads = stops.where(F.col("token").rlike(r"^\d+$")).select("unit", F.col("start_at").alias("at"))
     return structure.seams(cuts, shown, heads)
 
 

@@ -127,3 +127,12 @@ def test_p9_mean_word_length_counts_letters_of_words_only(spark):
     docs = spark.createDataFrame([(1, "ab cd"), (2, "  ab      cd\n\n\n\t ef \n"), (3, "")], "doc_id int, text string")
     found = {r["doc_id"]: r["mean_word_length"] for r in quality.with_measures(docs, []).collect()}
     assert found == {1: 2.0, 2: 2.0, 3: 0.0}
+
+
+def test_j8_seams_ties_go_to_a_printed_head(spark, tmp_path):
+    # the cut at 5 has no head near it, the one at 25 has
+    text = "abcd. efghijklmnopqrstuv. 12 wxyz"
+    schema = "line_id long, text string, display array<struct<span_start:int,span_end:int>>"
+    d = written(spark, tmp_path, page_lines=([(1, text, [(0, 2), (31, 33)])], schema))
+    rows = [r.asDict() for r in catalogue.QUERIES["ref_J8_seams"](spark, d).collect()]
+    assert len(rows) == 1 and 25 in rows[0].values(), rows
