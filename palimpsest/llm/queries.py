@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm import canonical, leaks, mixing, mojibake, quality, scans, sentences, spans, termcounts, vocabulary
-from palimpsest.plans.lineage import shared_dir
+from palimpsest.plans.lineage import scratch, written
 from palimpsest.sources.tables import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,11 +21,6 @@ def query(f: Query) -> Query:
     return f
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder for written tables, shared by all executors."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def clean_words(spark: SparkSession, d: str) -> list[tuple[str, str, int]]:
     return vocabulary.bounded(vocabulary.words_with_counts(load(spark, d, "corpus", "lang", "text"), load(spark, d, "common_words", "lang", "word")))
 
@@ -121,38 +115,54 @@ def _span_values(spark: SparkSession, d: str) -> DataFrame:
     passages = sound.join(named, "gold_id").select(F.concat(F.lit("gold:"), "gold_id").alias("rec"), "owner", "text")
     lines = load(spark, d, "page_lines", "line_id", "volume", "page", "line_no", "text").where("text is not null")
     rows = lines.select(F.concat(F.lit("page_lines:"), "line_id").alias("rec"), owner("page_lines", "volume", "page", "line_no").alias("owner"), "text")
-    path = scratch(spark, "spans")
-    passages.unionByName(rows).withColumn("key", F.md5("text")).write.parquet(path)
-    return spark.read.parquet(path)
+    return written(passages.unionByName(rows).withColumn("key", F.md5("text")), "spans")
 
 
-def _shared_pairs(spark: SparkSession, values: DataFrame) -> DataFrame:
-    """Text pairs that share a span: gold is history, page lines the new batch."""
-    index = spans.FingerprintIndex(spark, scratch(spark, "index"))
-    path = scratch(spark, "texts")
+def _texts(values: DataFrame) -> DataFrame:
+    """(id, key, text, old) of the distinct texts long enough to share a span; written, so the short ids stay."""
     distinct = values.where(F.length("text") >= spans.SPAN).groupBy("key").agg(F.first("text").alias("text"), F.max(F.col("rec").startswith("gold:")).alias("old"))
-    distinct.withColumn("id", F.monotonically_increasing_id()).write.parquet(path)  # written, so the short ids stay
-    texts = spark.read.parquet(path)
+    return written(distinct.withColumn("id", F.monotonically_increasing_id()), "texts")
+
+
+def _matches(spark: SparkSession, texts: DataFrame) -> spans.Matches:
+    """What the texts have in common: gold is history, page lines the new batch."""
+    index = spans.FingerprintIndex(spark, scratch(spark, "index"))
     short = texts.select(F.col("id").alias("key"), "text", "old")
-    matches = index.append(short.where("old")).unionByName(index.append(short.where("not old")))
-    index.drop()  # the matches are written; a standing index would be compacted and kept
-    pairs = spans.verified(matches, short.select("key", "text")).withColumnsRenamed({"key_a": "id_a", "key_b": "id_b"})
-    name = lambda s: texts.select(F.col("id").alias(f"id_{s}"), F.col("key").alias(f"key_{s}"))
-    return pairs.join(name("a"), "id_a").join(name("b"), "id_b").select("key_a", "key_b")
+    found = index.append(short.where("old")) + index.append(short.where("not old"))
+    index.drop()  # a standing index would be kept
+    return found
+
+
+def _with_ids(values: DataFrame, texts: DataFrame) -> DataFrame:
+    """`values` with the texts' short ids for keys."""
+    return values.join(texts.select("key", "id"), "key", "left").drop("key").withColumnRenamed("id", "key")
 
 
 @query
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of records that share a span of at least 50 code points."""
     values = _span_values(spark, d)
-    return spans.record_pairs(values, _shared_pairs(spark, values))
+    texts = _texts(values)
+    pairs = spans.verified(_matches(spark, texts), texts.select(F.col("id").alias("key"), "text"))
+    return spans.record_pairs(_with_ids(values.where(F.length("text") >= spans.SPAN), texts), pairs)
 
 
 @query
 def p4_shares(spark: SparkSession, d: str) -> DataFrame:
     """For each record, how much of its text also stands elsewhere."""
     values = _span_values(spark, d)
-    return spans.shares(values, spans.sharing_keys(values, _shared_pairs(spark, values)))
+    texts = _texts(values)
+    short = _with_ids(values, texts)
+    return spans.shares(short, spans.sharing_keys(short.where("key is not null"), _matches(spark, texts)))
+
+
+@query
+def p4_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Every maximal stretch of a record that stands elsewhere, with the representative of its class: membership instead of pairs."""
+    values = _span_values(spark, d)
+    texts = _texts(values)
+    short = _with_ids(values.where(F.length("text") >= spans.SPAN), texts)
+    return spans.classes(short, spans.sharing_keys(short, _matches(spark, texts)))
 
 
 def _leaks(spark: SparkSession, d: str) -> DataFrame:

@@ -159,7 +159,9 @@ def test_p3_forms(spark):
 # --- 4
 
 
-def test_p4_against_brute_force(spark, tmp_path):
+@pytest.mark.parametrize("light,hot", [(64, 256), (2, 3)])
+def test_p4_against_brute_force(spark, tmp_path, monkeypatch, light, hot):
+    monkeypatch.setattr(spans, "HOT", hot)
     random.seed(1)
     make = lambda n: "".join(random.choices("אבגד ", k=n))
     shared = [make(49), make(50), make(51), make(160)]
@@ -174,14 +176,16 @@ def test_p4_against_brute_force(spark, tmp_path):
         for i in range(len(text) - 49):
             windows[text[i : i + 50]].add((rec, owner))
     want = {tuple(sorted((a[0], b[0]))) for s in windows.values() for a in s for b in s if a[0] != b[0] and a[1] != b[1]}
-    index = spans.FingerprintIndex(spark, str(tmp_path / "index"), 3, most_runs=2)
+    index = spans.FingerprintIndex(spark, str(tmp_path / "index"), 3, most_runs=2, light=light, key_type="string")
     texts = frame.groupBy("key").agg(F.first("text").alias("text")).withColumn("n", F.pmod(F.xxhash64("key"), F.lit(4))).cache()
     found = None
     for k in range(4):
         part = index.append(texts.where(F.col("n") == k))
-        found = part if found is None else found.unionByName(part)
-        index.compact()
+        found = part if found is None else found + part
         assert len(index.runs) <= 2
+        index = spans.FingerprintIndex(spark, str(tmp_path / "index"), most_runs=2, light=light)  # opened anew
+        for run in index.runs:
+            spark.sql(f"DROP TABLE IF EXISTS `{run}`")  # as in another session
     got = {tuple(r) for r in spans.record_pairs(frame, spans.verified(found, texts)).collect()}
     assert got == want and want
     owners = defaultdict(set)
@@ -189,14 +193,49 @@ def test_p4_against_brute_force(spark, tmp_path):
         for i in range(len(text) - 49):
             owners[text[i : i + 50]].add(owner)
     plain = sorted(map(tuple, spans.shares(frame).collect()))
-    assert plain == sorted(map(tuple, spans.shares(frame, spans.sharing_keys(frame, spans.verified(found, texts))).collect()))
+    assert plain == sorted(map(tuple, spans.shares(frame, spans.sharing_keys(frame, found)).collect()))
     for r in spans.shares(frame).collect():
         own = [t for rec, _, t in values if rec == r["rec"]][0]
         marked = {j for i in range(len(own) - 49) if len(owners[own[i : i + 50]]) > 1 for j in range(i, i + 50)}
         assert r["shared_chars"] == len(marked) and r["chars"] == len(own)
+    marked = defaultdict(set)
+    for r in spans.classes(frame, spans.sharing_keys(frame, found)).collect():
+        own, other = ({t for rec, _, t in values if rec == r[c]}.pop() for c in ("rec", "rec_to"))
+        assert own[r["start_at"] : r["end_at"]] == other[r["at_to"] : r["at_to"] + r["end_at"] - r["start_at"]] and r["end_at"] - r["start_at"] >= 50 and r["holders"] > 1
+        marked[r["rec"]] |= set(range(r["start_at"], r["end_at"]))
+    assert {rec: len(m) for rec, m in marked.items()} == {r["rec"]: r["shared_chars"] for r in spans.shares(frame).collect() if r["shared_chars"]}
     index.drop()
 
 
+def test_p4_repetition_and_one_passage_everywhere(spark, tmp_path):
+    dots = [(0, "." * 4000), (1, "x" * 20 + "." * 3000), (2, "ab" * 900), (3, "q" + "ab" * 700)]
+    assert spans.fingerprints(spark.createDataFrame(dots, "key long, text string")).groupBy("key").count().agg(F.max("count")).first()[0] < 60
+    random.seed(8)
+    passage = "".join(random.choices("אבגדהוז ", k=90))
+    many = [(100 + i, f"{i:05d}" + passage[: 90 if i % 2 else 45] + f"{i * 7919:07d}") for i in range(4_000)]
+    index = spans.FingerprintIndex(spark, str(tmp_path / "index"), 3)
+    texts = spark.createDataFrame(dots + many, "key long, text string").repartition(3).cache()
+    found = index.append(texts)
+    # no hash is multiplied out: the whole passage's halves are 2,000 texts each, their pairs two million
+    assert found.pairs.selectExpr("sum(size(places))").first()[0] is None or found.pairs.selectExpr("sum(size(places))").first()[0] < 64 * 8_000
+    windows = spans.crowd_windows(found.crowd, texts)
+    assert windows.count() < 4_000 * 60
+    small = [*dots, *many[:60]]
+    index = spans.FingerprintIndex(spark, str(tmp_path / "small"), 3, light=8)
+    part = spark.createDataFrame(small, "key long, text string")
+    got = {tuple(r) for r in spans.verified(index.append(part), part).collect()}
+    share = lambda a, b: any(a[i : i + 50] in b for i in range(len(a) - 49))
+    assert got == {(x, y) for x, a in small for y, b in small if x < y and share(a, b)}
+
+
+def test_p4_class_pairs_in_blocks(spark):
+    rows = [(w, 0, k) for w, ks in ((1, range(30)), (2, range(30)), (3, range(20, 40)), (4, [7])) for k in ks]
+    want = {(a, b) for ks in (range(30), range(20, 40)) for a in ks for b in ks if a < b}
+    frame = spark.createDataFrame(rows, "w long, v long, key long")
+    for block in (4, 512):
+        assert {tuple(r) for r in spans.class_pairs(frame, block).collect()} == want
+
+
 def test_p4_hash_is_of_the_window():
     points = np.frombuffer("אבגדהאבגדה".encode("utf-32-le"), np.uint32)
     for size in (1, 3, 5):
