@@ -122,9 +122,9 @@ def unicode_mark(c: str) -> bool:
 
 
 def undo_multibyte(text: str, vocabulary: frozenset[str] = frozenset()) -> tuple[str, bool]:
-    """`text` with every span of misread UTF-8 decoded, to the innermost layer."""
+    """`text` with every span of misread UTF-8 decoded, to the innermost layer; each layer shortens the text, so it ends."""
     found = False
-    for _ in range(6):
+    while True:
         best: tuple[int, list[tuple[int, int, str]]] = (0, [])
         for codec in MULTIBYTE_VIEWS:
             if not _suspect(codec).search(text):
@@ -150,7 +150,6 @@ def undo_multibyte(text: str, vocabulary: frozenset[str] = frozenset()) -> tuple
             out += [text[at:a], decoded]
             at = b
         text = "".join(out) + text[at:]
-    return text, found
 
 
 @lru_cache(maxsize=None)
@@ -189,9 +188,12 @@ def _hebrew_order(span: str, vocabulary: frozenset[str]) -> str:
 
 
 def undo_single_byte(text: str, vocabulary: frozenset[str]) -> tuple[str, bool]:
-    """`text` with every stretch of misread one-byte Hebrew decoded, `vocabulary` being the judge."""
+    """`text` with every stretch of misread one-byte Hebrew decoded, `vocabulary` being the judge.
+
+    Each round turns letters of other scripts into Hebrew and none back, so it ends.
+    """
     found = False
-    for _ in range(3):
+    while True:
         best: tuple[int, list[tuple[int, int, str]]] = (0, [])
         for page, view, back, word in _single_pages():
             hits = [m for m in word.finditer(text) if _alone(text, m.start(), m.end())]
@@ -216,13 +218,12 @@ def undo_single_byte(text: str, vocabulary: frozenset[str]) -> tuple[str, bool]:
             if gain > best[0]:
                 best = (gain, spans)
         if not best[1]:
-            break
+            return text, found
         found, out, at = True, [], 0
         for a, b, decoded in best[1]:
             out += [text[at:a], _hebrew_order(decoded, vocabulary)]
             at = b
         text = "".join(out) + text[at:]
-    return text, found
 
 
 def _alone(text: str, a: int, b: int) -> bool:

@@ -69,13 +69,20 @@ COMMON, RARE = {"tokens": 1 / 200, "page_lines": 1 / 20}, 3
 
 
 def _counted(spark: SparkSession, d: str) -> termcounts.CountStore:
-    """The store after two batches: what was read in time, then the late rest."""
+    """The store after three batches: what was read in time, with the readings tokens first had; the late rest; the corrections.
+
+    A correction is a changed record: its old version (`was`) removed, its new one added.
+    """
     store = termcounts.CountStore(spark, scratch(spark, "terms"))
-    tokens, lines = load(spark, d, "tokens", "text", "read_at"), load(spark, d, "page_lines", "text", "read_at")
-    cut = F.to_timestamp(F.lit("2024-01-16 00:00:00"))
-    for late in (False, True):
-        own = F.coalesce(F.col("read_at") >= cut, F.lit(True)) == F.lit(late)
-        store.apply(termcounts.batches([("tokens", tokens.where(own), termcounts.whole()), ("page_lines", lines.where(own), termcounts.pieces())]))
+    tokens, lines = load(spark, d, "tokens", "text", "was", "read_at"), load(spark, d, "page_lines", "text", "read_at")
+    late = F.coalesce(F.col("read_at") >= F.to_timestamp(F.lit("2024-01-16 00:00:00")), F.lit(True))
+    mended = ~late & F.col("was").isNotNull() & F.col("text").isNotNull()
+    first = tokens.where(~late).withColumn("text", F.when(mended, F.col("was")).otherwise(F.col("text")))
+    store.apply(termcounts.batches([("tokens", first, termcounts.whole()), ("page_lines", lines.where(~late), termcounts.pieces())]))
+    store.apply(termcounts.batches([("tokens", tokens.where(late), termcounts.whole()), ("page_lines", lines.where(late), termcounts.pieces())]))
+    changed = tokens.where(mended)
+    removed = termcounts.batches([("tokens", changed.select(F.col("was").alias("text")), termcounts.whole())], -1)
+    store.apply(removed.unionByName(termcounts.batches([("tokens", changed, termcounts.whole())])))
     return store
 
 

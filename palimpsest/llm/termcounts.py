@@ -14,24 +14,27 @@ never added and raises when marks are read.
 
 from __future__ import annotations
 
-import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BUCKETS = 64
+from palimpsest.plans.lineage import Manifests
+
+#: Terms a bucket holds before the number of buckets is doubled.
+BUCKET_TERMS = 250_000
 
 
 def deltas(batch: DataFrame) -> DataFrame:
-    """(field, term, occurrences, records) changes of `batch`(field, text, sign), split per record by `field`'s rule.
+    """(field, term, occurrences, records) changes of `batch`(field, terms, sign); a null term counts the field's records.
 
     `batch.terms` is an array<string> of the record's terms.  The array is
     sorted once, so a record's repeated terms are told from its first one in
     linear space however long it is.
     """
     in_order = batch.select("field", "sign", F.array_sort("terms").alias("s"))
-    flagged = in_order.select("field", "sign", F.explode(F.expr("transform(s, (x, i) -> struct(x as term, if(i = 0 or s[i - 1] != x, 1, 0) as first))")).alias("e"))
+    own = "transform(s, (x, i) -> struct(x as term, if(i = 0 or s[i - 1] != x, 1, 0) as first))"
+    flagged = in_order.select("field", "sign", F.explode(F.expr(f"array_append({own}, struct(cast(null as string) as term, 1 as first))")).alias("e"))
     return flagged.groupBy("field", F.col("e.term").alias("term")).agg(F.sum("sign").alias("occurrences"), F.sum(F.col("sign") * F.col("e.first")).alias("records"))
 
 
@@ -45,39 +48,26 @@ def pieces(text: str = "text") -> Column:
 
 
 class CountStore:
-    """Per-term counts under `path`, a folder all executors share."""
-
-    def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS):
-        self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
-        jvm = spark.sparkContext._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-    def _manifest(self) -> dict:
-        at = self._path(f"{self.path}/manifest.json")
-        if not self._fs.exists(at):
-            return {"version": 0, "buckets": {}, "totals": {}}
-        stream = self._fs.open(at)
-        try:
-            return json.loads(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
-        finally:
-            stream.close()
-
-    def _commit(self, manifest: dict) -> None:
-        """The new manifest replaces the old one by rename: readers see one or the other."""
-        new, final = self._path(f"{self.path}/manifest.new"), self._path(f"{self.path}/manifest.json")
-        out = self._fs.create(new, True)
-        out.write(bytearray(json.dumps(manifest), "utf-8"))
-        out.close()
-        self._fs.delete(final, False)
-        self._fs.rename(new, final)
+    """Per-term counts under `path`, a folder all executors share.
 
-    def counts(self) -> DataFrame:
-        """(field, term, occurrences, records, bucket) as of the last committed batch."""
-        manifest = self._manifest()
+    The number of buckets follows the number of terms: a batch that would fill
+    them beyond `bucket_terms` each doubles it, as often as is needed, and
+    rewrites the store.  A manifest names the version each bucket was last
+    written in; versions no bucket needs any longer are deleted once the next
+    manifest stands, so a reader of the manifest before may go on.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, bucket_terms: int = BUCKET_TERMS):
+        self.spark, self.path, self.bucket_terms = spark, path.rstrip("/"), bucket_terms
+        self.manifests = Manifests(spark, self.path)
+
+    def _state(self) -> dict:
+        return self.manifests.read() or {"version": 0, "size": 1, "terms": 0, "buckets": {}, "totals": {}, "old": []}
+
+    def _counts(self, state: dict) -> DataFrame:
         schema = "field string, term string, occurrences bigint, records bigint, bucket int"
         versions: dict[int, list[int]] = {}
-        for bucket, version in manifest["buckets"].items():
+        for bucket, version in state["buckets"].items():
             versions.setdefault(version, []).append(int(bucket))
         out = None
         for version, own in sorted(versions.items()):
@@ -85,35 +75,54 @@ class CountStore:
             out = part if out is None else out.unionByName(part)
         return out if out is not None else self.spark.createDataFrame([], schema)
 
+    def counts(self) -> DataFrame:
+        """(field, term, occurrences, records, bucket) as of the last committed batch."""
+        return self._counts(self._state())
+
     def totals(self) -> dict[str, int]:
         """Records per field."""
-        return self._manifest()["totals"]
+        return self._state()["totals"]
 
     def apply(self, batch: DataFrame) -> None:
         """Merge `batch`(field, terms array<string>, sign) into the store; null terms (null texts) are no records."""
-        manifest = self._manifest()
-        version = manifest["version"] + 1
-        live = batch.where("terms is not null")
-        change = deltas(live).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(self.buckets)).cast("int"))
+        state = self._state()
+        version = state["version"] + 1
         target = f"{self.path}/delta{version}"
-        change.repartition(self.buckets, "bucket").write.mode("overwrite").parquet(target)
+        deltas(batch.where("terms is not null")).write.mode("overwrite").parquet(target)
         change = self.spark.read.parquet(target)
-        touched = [r[0] for r in change.select("bucket").distinct().limit(self.buckets + 1).collect()]
-        old = self.counts().where(F.col("bucket").isin(touched)) if touched else self.counts()
-        merged = (
-            old.unionByName(change)
-            .groupBy("bucket", "field", "term")
-            .agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
-            .where("occurrences != 0 or records != 0")
-        )
+        totals = change.where("term is null").collect()  # one row for each field the caller named
+        own = change.where("term is not null")
+        size = state["size"]
+        while size * self.bucket_terms < state["terms"] + own.count():
+            size *= 2
+        bucket = F.pmod(F.xxhash64("term"), F.lit(size)).cast("int").alias("bucket")
+        own = own.select("field", "term", "occurrences", "records", bucket)
+        if size == state["size"]:
+            touched = [r[0] for r in own.select("bucket").distinct().collect()]  # at most `size` numbers
+            old = self._counts(state).where(F.col("bucket").isin(touched))
+        else:
+            touched = list(range(size))
+            old = self._counts(state).select("field", "term", "occurrences", "records", bucket)
         if touched:
-            merged.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/v{version}")
-        self._fs.delete(self._path(target), True)
-        for row in live.groupBy("field").agg(F.sum("sign").alias("n")).limit(1000).collect():
-            manifest["totals"][row["field"]] = manifest["totals"].get(row["field"], 0) + row["n"]
-        manifest["version"] = version
-        manifest["buckets"] |= {str(b): version for b in touched}
-        self._commit(manifest)
+            merged = (
+                old.unionByName(own)
+                .groupBy("bucket", "field", "term")
+                .agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
+                .where("occurrences != 0 or records != 0")
+            )
+            spread = merged.repartition("bucket") if size > 1 else merged
+            spread.write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(f"{self.path}/v{version}")
+        self.manifests.delete(f"delta{version}")
+        for row in totals:
+            state["totals"][row["field"]] = state["totals"].get(row["field"], 0) + row["records"]
+        dead = set(state["buckets"].values())
+        kept = state["buckets"] if size == state["size"] else {}
+        state |= {"version": version, "size": size, "buckets": kept | {str(b): version for b in touched}}
+        state["terms"] = self._counts(state).count()
+        doomed, state["old"] = state["old"], sorted(dead - set(state["buckets"].values()))
+        self.manifests.write(state)
+        for v in doomed:
+            self.manifests.delete(f"v{v}")
 
     def marks(self, common: dict[str, float], rare: int) -> DataFrame:
         """(field, term, occurrences, records, mark): `common` above the field's share of records, else `rare` below `rare` records, else null."""

@@ -58,6 +58,13 @@ def test_p1_rightful_text_stays(text):
     assert mojibake.repair(text, VOCABULARY) == (text, False)
 
 
+def test_p1_layers_have_no_limit():
+    text = "שלום"
+    for _ in range(8):
+        text = text.encode("utf-8").decode("latin-1")
+    assert mojibake.repair(text, VOCABULARY) == ("שלום", True)
+
+
 def test_p1_frame(spark):
     rows = [(1, seen_as("שלום", "cp1252"), ["ספר", None, seen_as("ארץ", "latin-1")], "x"), (2, None, None, "y"), (3, "", [], "z"), (3, "שלום", ["ספר"], "z")]
     gold = spark.createDataFrame(rows, "gold_id long, text string, lemma array<string>, garbled string")
@@ -247,7 +254,7 @@ def test_p4_hash_is_of_the_window():
 
 
 def test_p5_deltas_equal_recount(spark, tmp_path):
-    store = termcounts.CountStore(spark, str(tmp_path / "terms"), 4)
+    store = termcounts.CountStore(spark, str(tmp_path / "terms"), 2)
     batch = lambda texts, sign=1: termcounts.batches([("f", spark.createDataFrame([(t,) for t in texts], "text string"), termcounts.pieces())], sign)
     assert store.counts().count() == 0
     first = ["a b a", "b  c", None, "", "a b a"]
@@ -259,6 +266,8 @@ def test_p5_deltas_equal_recount(spark, tmp_path):
     records = Counter(w for t in live for w in set(t.split()))
     got = {r["term"]: (r["occurrences"], r["records"]) for r in store.counts().collect()}
     assert got == {w: (occurrences[w], records[w]) for w in occurrences} and store.totals() == {"f": 5}
+    assert store._state()["size"] >= 2 and len(list((tmp_path / "terms").glob("manifest-*.json"))) == 1
+    assert len(list((tmp_path / "terms").glob("v*"))) <= 3
     marks = {r["term"]: r["mark"] for r in store.marks({"f": 0.5}, 2).collect()}
     assert marks == {"a": "common", "b": "common", "d": "rare", "z": "rare"}
     store.apply(batch([]))
