@@ -6,67 +6,104 @@ one global order of finish times and cut at the token budget.  A source that
 has used up its allowed repetitions falls silent and the others go on in their
 own proportion, so the budget is met as far as the sources last.
 
-Running sums never gather a source in one task: they run within buckets of the
-shuffle order and add the sums of the buckets before, a table of sources times
-buckets.  Null texts have no tokens and are left out, as are unlisted sources;
-an empty text can be chosen and weighs nothing; a repeated row is a document of
-its own.  Ties of finish time are broken by source, document and copy.
+Order is made by range partitioning, both of the shuffled documents of all
+sources and of the copies by finish time: a source with a third of all rows
+lies in many ranges, sums are taken per range, and only the one range in which
+the budget runs out is looked at row by row.  Null texts have no tokens and are
+left out, as are unlisted sources; an empty text can be chosen and weighs
+nothing; a repeated row is a document of its own.  Ties of finish time are
+broken by source, document and copy.
 """
 
 from __future__ import annotations
 
 import base64
+import uuid
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from palimpsest.operators.windows import running_sum, slot_of_hash
+from palimpsest.plans.lineage import written
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-BUCKETS = 512
+#: Largest vocabulary file sent to the workers.
+MOST_BYTES = 64 << 20
+#: Documents or copies in a range.
+RANGE_ROWS = 500_000
 
 
-def count_tokens(path: str = TOKENIZER, pattern: str = PATTERN):
-    """Column → tokens of a public byte-level vocabulary file of ranks at `path`."""
+def count_tokens(spark: SparkSession, path: str = TOKENIZER, pattern: str = PATTERN):
+    """Column → tokens of a public byte-level vocabulary file of ranks.
+
+    `path` is read on the driver only and sent to the workers, whose machines need not have it.
+    """
+    with open(path, "rb") as file:
+        content = file.read(MOST_BYTES + 1)
+    if len(content) > MOST_BYTES:
+        raise ValueError(f"the vocabulary file is larger than {MOST_BYTES} bytes")
+    shared, name = spark.sparkContext.broadcast(content), uuid.uuid4().hex
 
     @F.pandas_udf("long")
     def run(texts: pd.Series) -> pd.Series:
         import tiktoken
 
         cached = globals().setdefault("_PALIMPSEST_ENCODINGS", {})
-        if path not in cached:
-            with open(path, "rb") as file:
-                ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
-            cached[path] = tiktoken.Encoding("public", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        return texts.map(lambda t: None if t is None else len(cached[path].encode_ordinary(t))).astype("Int64")
+        if name not in cached:
+            cached.clear()
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, shared.value.splitlines())}
+            cached[name] = tiktoken.Encoding("public", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        return texts.map(lambda t: None if t is None else len(cached[name].encode_ordinary(t))).astype("Int64")
 
     return run
 
 
-def mixture(sized: DataFrame, targets: DataFrame, budget: int | None = None, seed: int = 7, buckets: int = BUCKETS) -> DataFrame:
-    """(source, doc_id, copy, tokens, finish): the chosen copies of `sized`(doc_id, source, tokens).
+def _ranges(frame: DataFrame, rows: int, order: list[str], size: int, name: str) -> DataFrame:
+    """`frame` of `rows` rows, written in ranges of `order` of about `size` rows, with the range's number `part`."""
+    n = max(1, -(-rows // size))
+    return written(frame.repartitionByRange(n, *order).withColumn("part", F.spark_partition_id()), name)
+
+
+def mixture(sized: DataFrame, targets: DataFrame, budget: int | None = None, seed: int = 7, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """(source, doc_id, copy, tokens, finish): the chosen copies of `sized`(doc_id, source, tokens), in queue order.
 
     `targets`(source, target_share, max_repeats); `budget` in tokens, by default
     the total of the listed sources once over.
     """
     wanted = targets.where("target_share > 0 and max_repeats > 0").select("source", F.col("target_share").alias("weight"), "max_repeats")
     docs = sized.where("tokens is not null").select("doc_id", "source", "tokens").join(wanted, "source")
-    totals = docs.groupBy("source", "weight", "max_repeats").agg(F.sum("tokens").alias("total"), F.max("tokens").alias("most")).collect()
+    # as many rows as listed sources
+    totals = docs.groupBy("source", "weight", "max_repeats").agg(F.sum("tokens").alias("total"), F.max("tokens").alias("most"), F.count("*").alias("n")).collect()
     if not totals or not sum(r["total"] for r in totals):
         return docs.select("source", "doc_id", F.lit(1).alias("copy"), "tokens", F.lit(0.0).alias("finish")).limit(0)
     budget = sum(r["total"] for r in totals) if budget is None else budget
     until = _virtual_end([(r["weight"], r["total"] * r["max_repeats"]) for r in totals], budget)
     until += max(r["most"] for r in totals) / min(r["weight"] for r in totals)
-    shuffled = docs.withColumn("key", F.xxhash64("doc_id", F.lit(seed))).withColumn("slot", slot_of_hash(F.col("key"), buckets))
-    lined = running_sum(shuffled, ["source"], "slot", ["key", "doc_id"], "tokens", "served")
+    shuffled = docs.withColumn("key", F.xxhash64("doc_id", F.lit(seed)))
+    lined = _ranges(shuffled, sum(r["n"] for r in totals), ["source", "key", "doc_id"], range_rows, "shuffled")
+    # a table of at most ranges plus sources rows
+    sums = lined.groupBy("source", "part").agg(F.sum("tokens").alias("own"))
+    before = sums.withColumn("before", F.sum("own").over(Window.partitionBy("source").orderBy("part")) - F.col("own")).drop("own")
+    inside = Window.partitionBy("source", "part").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    served = lined.withColumn("served", F.sum("tokens").over(inside)).join(before, ["source", "part"]).withColumn("served", F.col("served") + F.col("before"))
     whole = sized.sparkSession.createDataFrame([(r["source"], r["total"]) for r in totals], "source string, total long")
-    copies = lined.join(whole, "source").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("max_repeats").cast("int"))))
+    copies = served.join(F.broadcast(whole), "source").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("max_repeats").cast("int"))))
     timed = copies.withColumn("finish", ((F.col("copy") - 1) * F.col("total") + F.col("served")) / F.col("weight")).where(F.col("finish") <= until)
-    slotted = timed.withColumn("slot", F.floor(F.col("finish") / F.lit(until) * buckets).cast("int"))
-    queued = running_sum(slotted, [], "slot", ["finish", "source", "doc_id", "copy"], "tokens", "sent")
-    return queued.where(F.col("sent") <= budget).select("source", "doc_id", "copy", "tokens", "finish")
+    order = ["finish", "source", "doc_id", "copy"]
+    queue = _ranges(timed.select(*order, "tokens"), sum(r["n"] * r["max_repeats"] for r in totals), order, range_rows, "queue")
+    # one row for each range: the ranges that fit, and the one in which the budget runs out
+    sent, last = 0, None
+    for row in queue.groupBy("part").agg(F.sum("tokens").alias("own")).orderBy("part").collect():
+        if sent + row["own"] > budget:
+            last = row["part"]
+            break
+        sent += row["own"]
+    chosen = queue
+    if last is not None:
+        within = queue.where(F.col("part") == last).withColumn("sent", F.sum("tokens").over(Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+        chosen = queue.where(F.col("part") < last).unionByName(within.where(F.col("sent") <= budget - sent).drop("sent"))
+    return chosen.orderBy(*order).select("source", "doc_id", "copy", "tokens", "finish")
 
 
 def _virtual_end(sources: list[tuple[float, float]], budget: float) -> float:

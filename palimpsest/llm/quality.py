@@ -80,24 +80,25 @@ def _covers(rule: Rule, x: np.ndarray, names: list[str]) -> np.ndarray:
 
 
 def _grow(x: np.ndarray, y: np.ndarray, names: list[str]) -> Rule:
-    """Add the condition of highest information gain until no negative is covered."""
+    """Add the condition of highest information gain, of all cuts between neighbouring values, until no negative is covered."""
     rule: Rule = []
     hit = np.ones(len(x), bool)
-    while y[hit].sum() and (~y[hit]).sum() and len(rule) < 5:
-        p, n = y[hit].sum(), (~y[hit]).sum()
-        base, best = np.log2(p / (p + n)), (1e-9, None, None)
+    while y[hit].any() and (~y[hit]).any():
+        own, truth = x[hit], y[hit]
+        p, n = truth.sum(), (~truth).sum()
+        base, best = np.log2(p / (p + n)), (1e-9, None)
         for k, name in enumerate(names):
-            column = x[hit, k]
-            cuts = np.unique(column)
-            if len(cuts) > 129:
-                cuts = np.unique(np.quantile(column, np.linspace(0, 1, 129)))
-            for a, b in zip(cuts[:-1], cuts[1:]):
-                bound = (a + b) / 2
-                above = column >= bound
-                for side, taken in ((">=", above), ("<", ~above)):
-                    pp, nn = y[hit][taken].sum(), (~y[hit][taken]).sum()
-                    if pp and (gain := pp * (np.log2(pp / (pp + nn)) - base)) > best[0]:
-                        best = (gain, (name, side, float(bound)), None)
+            order = np.argsort(own[:, k], kind="stable")
+            column, below = own[order, k], np.cumsum(truth[order])
+            cuts = np.flatnonzero(column[1:] > column[:-1])  # a cut lies behind each of these rows
+            if not len(cuts):
+                continue
+            for side, good, taken in ((">=", p - below[cuts], len(column) - 1 - cuts), ("<", below[cuts], cuts + 1)):
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    gains = np.where(good > 0, good * (np.log2(good / taken) - base), 0.0)
+                i = int(gains.argmax())
+                if gains[i] > best[0]:
+                    best = (gains[i], (name, side, float((column[cuts[i]] + column[cuts[i] + 1]) / 2)))
         if best[1] is None:
             break
         rule.append(best[1])
@@ -117,10 +118,7 @@ def induce(x: np.ndarray, labels: np.ndarray, names: list[str], rest: str = "pro
     left = np.ones(len(x), bool)
     kinds = [k for k in sorted(set(labels), key=lambda k: ((labels == k).sum(), k)) if k != rest]
     for kind in kinds:
-        for _ in range(12):
-            y = labels[left] == kind
-            if not y.any():
-                break
+        while (y := labels[left] == kind).any():  # every kept rule covers a label of its own
             own = x[left]
             turn = np.zeros(len(y), int)
             turn[y], turn[~y] = np.arange(y.sum()), np.arange((~y).sum())
@@ -152,7 +150,8 @@ def fit(documents: DataFrame, labels: DataFrame, common: list[str], limit: int =
     sample = labels.where("label is not null").select("doc_id", "label").orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
     texts = documents.where("text is not null").select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # at most `limit` ids and labels
     names = list(measures([]))
-    rows = with_measures(texts, common, ("doc_id", "label")).orderBy(F.xxhash64("doc_id"), "doc_id", "label").collect()
+    measured = with_measures(texts, common, ("doc_id", "label")).withColumn("_turn", F.xxhash64("doc_id")).collect()  # at most `limit` labels
+    rows = sorted(measured, key=lambda r: (r["_turn"], r["doc_id"], r["label"]))
     if not rows:
         return []
     return induce(np.array([[r[n] for n in names] for r in rows], float), np.array([r["label"] for r in rows]), names)

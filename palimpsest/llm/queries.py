@@ -193,9 +193,8 @@ def p7_items(spark: SparkSession, d: str) -> DataFrame:
 def _mixture(spark: SparkSession, d: str) -> DataFrame:
     targets = load(spark, d, "mix_targets", "source", "target_share", "max_repeats")
     docs = load(spark, d, "documents", "doc_id", "source", "text").join(targets.select("source"), "source", "left_semi")
-    path = scratch(spark, "sized")
-    docs.select("doc_id", "source", mixing.count_tokens()("text").alias("tokens")).write.parquet(path)
-    return mixing.mixture(spark.read.parquet(path), targets)
+    sized = docs.select("doc_id", "source", mixing.count_tokens(spark)("text").alias("tokens"))
+    return mixing.mixture(written(sized, "sized"), targets)
 
 
 @query
