@@ -190,6 +190,12 @@ def p7_items(spark: SparkSession, d: str) -> DataFrame:
     return items.join(counts, "item_id", "left").select("item_id", "lang", F.coalesce("documents", F.lit(0)).alias("documents"))
 
 
+@query
+def p7_contained(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that hold four fifths or more of an item's shingles, with the exact share held."""
+    return leaks.contained(load(spark, d, "documents", "doc_id", "text"), load(spark, d, "eval_items", "item_id", "text"))
+
+
 def _mixture(spark: SparkSession, d: str) -> DataFrame:
     targets = load(spark, d, "mix_targets", "source", "target_share", "max_repeats")
     docs = load(spark, d, "documents", "doc_id", "source", "text").join(targets.select("source"), "source", "left_semi")
