@@ -5,9 +5,11 @@ told by geometry: a short first line is a running head, a line of nothing but a
 number and ornament a page number.  A word broken at a line's end carries a
 break mark and is whole again with the next line's first word.  Any other word
 that the vocabulary lacks is looked up by a Levenshtein automaton over the
-vocabulary trie; a candidate within the shape-confusion bound makes it a
-misreading, and the candidates are ranked by cost, then by their neighbours in
-the clean corpus, then by frequency.  Proper names have no such candidate.
+vocabulary trie, which gives every candidate within the bound, general edits
+too; they are ranked by cost, then by their neighbours in the clean corpus,
+then by frequency.  A candidate by shape confusions makes the word a
+misreading, one by a general edit only if its neighbours attest it, so that
+proper names stay.
 
 Null texts hold no noise and no words; empty lines are kept out of the reflowed
 text; repeated rows (same natural key) are each judged by themselves in the
@@ -21,13 +23,16 @@ import re
 import unicodedata
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 from statistics import median
 
+import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.automaton import Trie
+from palimpsest.llm.automaton import OTHER, SHAPE, Trie
 
 BREAKS = "-=־‐‑⸗¬­"
 SHORT = 0.62
@@ -69,45 +74,81 @@ def plain(word: str) -> str:
 
 
 class Reader:
-    """Vocabulary, its trie, and the pairs of neighbouring words of the clean corpus."""
+    """Vocabulary, its trie, and the pairs of neighbouring words of the clean corpus, in flat arrays."""
 
     def __init__(self, words: list[tuple[str, int]], pairs: list[tuple[str, str]]):
         self.trie = Trie(words + [(w.lower(), n) for w, n in words if w != w.lower()])
-        self.pairs = set(pairs)
+        self.pairs = np.unique(np.array([_pair(a, b) for a, b in pairs], np.uint64))
+        self._cache()
+
+    def _cache(self) -> None:
+        self.judged = lru_cache(maxsize=200_000)(self._judged)
+
+    def __getstate__(self) -> tuple:
+        return self.trie, self.pairs
+
+    def __setstate__(self, state: tuple) -> None:
+        self.trie, self.pairs = state
+        self._cache()
 
     def knows(self, word: str) -> bool:
-        known = self.trie.known
-        return word in known or word.lower() in known
+        return word in self.trie or word.lower() in self.trie
+
+    def attests(self, a: str, b: str) -> bool:
+        """Whether `b` follows `a` somewhere in the clean corpus."""
+        h = np.uint64(_pair(a, b))
+        i = int(np.searchsorted(self.pairs, h))
+        return i < len(self.pairs) and bool(self.pairs[i] == h)
 
     def candidates(self, word: str) -> list[tuple[int, int, str]]:
-        bound = SHAPE_BOUND if word.isalpha() else MARK_BOUND
+        """Every vocabulary word within the bound of the word's length: a general edit from four letters on, a shape more from nine."""
+        letters = sum(c.isalpha() for c in word)
+        bound = (SHAPE_BOUND if word.isalpha() else MARK_BOUND) if letters < 4 else OTHER if letters < 9 else OTHER + SHAPE
         found = list(self.trie.near(word, bound))
         if word != word.lower():
             found += [(c, n, w[:1].upper() + w[1:]) for c, n, w in self.trie.near(word.lower(), bound)]
         return sorted(set(found))
 
-    def misread(self, word: str) -> str | None:
-        """The word stripped and folded if it is a misreading, else None."""
+    def misread(self, word: str, before: str = "", after: str = "") -> str | None:
+        """The word stripped and folded if it is a misreading, else None.
+
+        Confusions of shape, digits and marks judge by themselves.  A word that
+        only a general edit takes to the vocabulary may be a name: it is a
+        misreading only if the clean corpus has the candidate between its very
+        neighbours.
+        """
+        core, sure = self.judged(word)
+        if core is None or sure:
+            return core
+        held = any(self.attests(before, w) and self.attests(w, after) for _, _, w in self.candidates(core))
+        return core if held else None
+
+    def _judged(self, word: str) -> tuple[str | None, bool]:
+        """(core, whether it is a misreading whatever stands beside it); no core for a word that is none."""
         core = word.strip(_EDGES + " ")
-        if not core or core in self.trie.known:
-            return None
+        if not core or core in self.trie:
+            return None, True
         core = plain(core).strip(_EDGES + " ")
         if " " in core:
-            return next((c for c in map(self.misread, core.split()) if c), None)
+            return next((c for c in map(self.judged, core.split()) if c[0] and c[1]), (None, True))
         if _STRAY.search(core) and len(_LETTERS.sub("", core)) <= 3:
-            return core
+            return core, True
         letters = sum(c.isalpha() for c in core)
         if letters < 2 or self.knows(core) or re.fullmatch(r"[\d.,:/–-]*\d[a-zA-Z]{1,2}", core) or re.search("[א-ת][\"״][א-ת]$", core):
-            return None
+            return None, True
         if core[-1] in "'׳’" and letters <= 3 or any(not ("א" <= c <= "ת" or c < "ʰ") for c in core if c.isalpha()):
-            return None
+            return None, True
         joints = rf"[{BREAKS}–—/״\"().,:;]" if re.search("[א-ת]", core) else rf"[{BREAKS}–—/'’\"().,:;]"
         parts = [p for p in re.split(joints, core) if p]
         if len(parts) > 1 and all(self.knows(p) or p.isdigit() or len(p) < 2 for p in parts):
-            return None
+            return None, True
         if core.isalpha() and (letters <= 3 and numeral(core) or len(core) < 3):
-            return None
-        return core if self.candidates(core) else None
+            return None, True
+        found = self.candidates(core)
+        if not found:
+            return None, True
+        sure = found[0][0] <= (SHAPE_BOUND if core.isalpha() else MARK_BOUND)
+        return (core, sure) if sure or core.isalpha() and not core[0].isupper() else (None, True)
 
     def best(self, core: str, before: str, after: str) -> str:
         """The candidate of least cost, then with an attested neighbour, then of highest frequency."""
@@ -115,10 +156,14 @@ class Reader:
         if not ranked:
             bare = re.sub(r"[\\|^_•~*]", "", core)
             return bare or core
-        around = lambda w: -((before, w) in self.pairs) - ((w, after) in self.pairs)
+        around = lambda w: -self.attests(before, w) - self.attests(w, after)
         return min(ranked, key=lambda r: (r[0], around(r[2]), r[1], r[2]))[2]
 
 
+def _pair(a: str, b: str) -> int:
+    return xxhash.xxh3_64_intdigest(f"{a}\0{b}")
+
+
 Line = list[tuple[int, str]]  # (index of the row, word)
 
 
@@ -184,11 +229,12 @@ def read_unit(lines: list[Line], kinds: list[str], reader: Reader, carry: str =
     out = []
     cores = [plain(w.strip(_EDGES)) for _, w, _, _ in words]
     for k, (row, word, first_row, cut) in enumerate(words):
-        core = reader.misread(word) if cut >= 0 else None
+        beside = cores[k - 1] if k else "", cores[k + 1] if k + 1 < len(cores) else ""
+        core = reader.misread(word, *beside) if cut >= 0 else None
         if core is None:
             out.append(word)
             continue
-        best = reader.best(core, cores[k - 1] if k else "", cores[k + 1] if k + 1 < len(cores) else "")
+        best = reader.best(core, *beside)
         if cut and first_row is not None:
             head, tail = core[:cut], core[cut:]
             hit = [r for r, bad in ((first_row, best[:cut] != head), (row, best[cut:] != tail and best[cut - len(core) :] != tail)) if bad]
@@ -217,14 +263,14 @@ _READERS: dict[str, Reader] = {}
 
 
 def share_reader(spark: SparkSession, words: list[tuple[str, int]], pairs: list[tuple[str, str]]) -> tuple:
-    """A handle from which each worker process builds its one reader."""
-    return uuid.uuid4().hex, spark.sparkContext.broadcast((words, pairs))
+    """A handle under which each worker process keeps its one reader."""
+    return uuid.uuid4().hex, spark.sparkContext.broadcast(Reader(words, pairs))
 
 
 def reader_of(shared: tuple) -> Reader:
     if shared[0] not in _READERS:
         _READERS.clear()
-        _READERS[shared[0]] = Reader(*shared[1].value)
+        _READERS[shared[0]] = shared[1].value
     return _READERS[shared[0]]
 
 
@@ -232,15 +278,26 @@ _OUT = "tbl string, volume string, page int, unit long, elem int, noise array<st
 _NAMES = [c.split()[0] for c in _OUT.split(", ")]
 
 
-def _pages(rows: DataFrame, order: str) -> DataFrame:
-    """Rows gathered by page with the last row of the page before; rows without a page stand alone.
+def _pages(rows: DataFrame, notes: bool) -> DataFrame:
+    """(volume, page, rows, before): rows gathered by page, with the last row of the body of the page before, if any.
 
-    A page is a physical unit of bounded size; volumes, which may hold any share of all rows, are never gathered.
+    A page is a physical unit of bounded size; volumes, which may hold any
+    share of all rows, are never gathered.  Rows without a page stand alone.
+    The last row of each page is found by a greatest value, map-side first, and
+    joins the rows of the next page before they are gathered, once.  `notes`:
+    `fresh` rows are notes and lend nothing.
     """
+    text = F.regexp_replace("text", r"^\s+|\s+$", "")
+    broken = text.rlike(rf"(?U)[^\W\d_][{BREAKS}]\z")
+    furnished = text.rlike(rf"(?U)^(?:{_NUMBER.pattern})\z") | ~text.rlike(r"(?U)\w") | (text.rlike(rf"(?U)^(?:{_LETTER_NUMBER.pattern})\z") & ~(F.lit(not notes) & ~F.col("fresh") & broken))
+    body = ~F.col("fresh") & ~furnished if notes else ~furnished
+    own = rows.where("text is not null").select("volume", "page", "at", "row_id", "text", "fresh")
+    row = F.struct("at", "row_id", "text", "fresh")
+    lent = own.where("volume is not null and page is not null").groupBy("volume", "page").agg(F.max(F.when(body, row)).alias("r")).where("r is not null").select("volume", (F.col("page") + 1).alias("page"), "r.*", F.lit(True).alias("lent"))
     alone = F.when(F.col("volume").isNull() | F.col("page").isNull(), F.col("row_id"))
-    pages = rows.where("text is not null").groupBy("volume", "page", alone.alias("alone")).agg(F.array_sort(F.collect_list(F.struct(order, "row_id", "text", "fresh"))).alias("rows"))
-    ends = pages.where("alone is null").select("volume", (F.col("page") + 1).alias("page"), F.expr("if(size(rows) > 12, slice(rows, -12, 12), rows)").alias("before"))
-    return pages.join(ends, ["volume", "page"], "left")
+    together = own.withColumn("lent", F.lit(False)).unionByName(lent).groupBy("volume", "page", alone.alias("alone"))
+    gathered = together.agg(F.array_sort(F.collect_list(F.when(~F.col("lent"), row))).alias("rows"), F.collect_list(F.when(F.col("lent"), row)).alias("before"))
+    return gathered.where("size(rows) > 0").select("volume", "page", "rows", "before")
 
 
 def scan_noise(tokens: DataFrame | None, lines: DataFrame | None, addenda: DataFrame | None, words: list[tuple[str, int]], pairs: list[tuple[str, str]], spark: SparkSession) -> DataFrame:
@@ -249,10 +306,10 @@ def scan_noise(tokens: DataFrame | None, lines: DataFrame | None, addenda: DataF
     parts = []
     if tokens is not None:
         rows = tokens.select(F.col("token_id").alias("row_id"), "volume", "page", F.col("pos").alias("at"), "text", F.coalesce("nl", F.lit(False)).alias("fresh"))
-        parts.append(_pages(rows, "at").mapInPandas(lambda frames: _run_pages(frames, shared, "tokens"), _OUT))
+        parts.append(_pages(rows, False).mapInPandas(lambda frames: _run_pages(frames, shared, "tokens"), _OUT))
     if lines is not None:
-        rows = lines.select(F.col("line_id").alias("row_id"), "volume", "page", F.col("line_no").alias("at"), "text", (F.col("zone") == "notes").alias("fresh"))
-        parts.append(_pages(rows, "at").mapInPandas(lambda frames: _run_pages(frames, shared, "page_lines"), _OUT))
+        rows = lines.select(F.col("line_id").alias("row_id"), "volume", "page", F.col("line_no").alias("at"), "text", F.coalesce(F.col("zone") == "notes", F.lit(False)).alias("fresh"))
+        parts.append(_pages(rows, True).mapInPandas(lambda frames: _run_pages(frames, shared, "page_lines"), _OUT))
     if addenda is not None:
         rows = addenda.select("addenda_id", F.posexplode("text").alias("elem", "text")).where("text is not null")
         parts.append(rows.mapInPandas(lambda frames: _run_addenda(frames, shared), _OUT))

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.scans import _DECORATED, _LETTER_NUMBER, _NUMBER, SHORT, furniture, numeral
+from palimpsest.llm.scans import furniture
 from palimpsest.operators import windows
 
 INVISIBLE = "​‌‍‎‏‪‫‬‭‮⁠⁡⁢⁣⁤⁦⁧⁨⁩﻿"
@@ -81,14 +81,13 @@ _COMPILED = {name: [(b, re.compile(before), re.compile(after)) for b, before, af
 _SCRIPTS = (("he", "֐", "׿"), ("Arabic", "؀", "ۿ"), ("Ethiopic", "ሀ", "፿"), ("Han", "぀", "鿿"))
 
 
-def script_of(text: str) -> str:
-    """Script of the last letter of `text`."""
-    for c in reversed(text):
+def script_of(text: str, at: int) -> str:
+    """Script of the last letter of `text` before `at`."""
+    while at > 0:
+        at -= 1
+        c = text[at]
         if c.isalpha():
-            for name, low, high in _SCRIPTS:
-                if low <= c <= high:
-                    return name
-            return "Latin"
+            return next((name for name, low, high in _SCRIPTS if low <= c <= high), "Latin")
     return "Latin"
 
 
@@ -110,14 +109,27 @@ class Languages:
         return max(sorted(votes), key=votes.__getitem__) if votes else "en"
 
 
+#: Visible code points a rule may look at on either side of a stop, above the longest expression of the tables.
+REACH = 40
+
+
+def _beside(text: str, at: int, step: int) -> str:
+    """The text before (`step` -1) or behind `at`, without hidden characters, spaces run together, to `REACH` code points or its edge."""
+    width = REACH
+    while True:
+        raw = text[max(0, at - width) : at] if step < 0 else text[at : at + width]
+        seen = re.sub(r"\s+", " ", _HIDDEN.sub("", raw))
+        if len(seen) >= REACH or len(raw) < width:
+            return seen
+        width *= 2
+
+
 def ends(text: str, latin: str) -> list[int]:
     """Offsets just behind each sentence of `text`; `latin` is the language of its Latin words."""
     out = []
     for m in _CANDIDATE.finditer(text):
-        before = _HIDDEN.sub("", text[max(0, m.start() - 40) : m.end("stop")])
-        after = _HIDDEN.sub("", text[m.end("stop") : m.end() + 40])
-        before = re.sub(r"\s+(?=\S+$)", " ", before)
-        script = script_of(before)
+        before, after = _beside(text, m.end("stop"), -1), _beside(text, m.end("stop"), 1)
+        script = script_of(text, m.start())
         names = ("first", script, "last") if script != "Latin" else ("first", latin, "Latin", "last")
         for name in names:
             verdict = next((b for b, x, y in _COMPILED.get(name, ()) if x.search(before) and y.match(after)), None)
@@ -165,16 +177,8 @@ def line_ends(own: list[tuple[int, str]], before: str, after: str, languages: La
     return out
 
 
-def _number_line(text: str) -> bool:
-    text = text.strip()
-    if _NUMBER.fullmatch(text) or _DECORATED.fullmatch(text):
-        return True
-    m = _LETTER_NUMBER.fullmatch(text)
-    return bool(m and not text.endswith(".") and (m[1].isascii() or numeral(m[1])))
-
-
-def page_ends(rows: list[dict], before: list[str], after: list[str], languages: Languages) -> list[tuple[int, int]]:
-    """(row id, end) of a page's lines; `before` and `after`: body lines of the pages beside it, nearest last and first."""
+def page_ends(rows: list[dict], before: str, after: str, languages: Languages) -> list[tuple[int, int]]:
+    """(row id, end) of a page's lines; `before` and `after`: the nearest body lines of the pages beside it, past their furniture."""
     first, seen, again = [], {}, []
     for r in rows:
         if r["at"] is not None and r["at"] in seen:
@@ -191,20 +195,19 @@ def page_ends(rows: list[dict], before: list[str], after: list[str], languages:
     return out
 
 
-def _read(rows: list[dict], before: list[str], after: list[str], languages: Languages) -> list[tuple[int, int]]:
-    kinds = furniture([r["text"] for r in rows], foot=max((i for i, r in enumerate(rows) if not r["notes"]), default=None))
+def _read(rows: list[dict], before: str, after: str, languages: Languages) -> list[tuple[int, int]]:
+    kinds = _kinds(rows)
     out = []
     for notes in (False, True):
         own = [(r["row_id"], r["text"]) for r, k in zip(rows, kinds) if not k and r["notes"] == notes]
-        past = next((t for t in reversed(before) if not _number_line(t)), "") if not notes else ""
-        come = ""
-        if not notes:
-            usual = max(map(len, after), default=0)
-            come = next((t for i, t in enumerate(after) if not _number_line(t) and not (i <= 1 and len(t) <= SHORT * usual)), "")
-        out += line_ends(own, past, come, languages)
+        out += line_ends(own, "" if notes else before, "" if notes else after, languages)
     return out
 
 
+def _kinds(rows: list[dict]) -> list[str]:
+    return furniture([r["text"] for r in rows], foot=max((i for i, r in enumerate(rows) if not r["notes"]), default=None))
+
+
 _LANGUAGES: dict[str, Languages] = {}
 
 
@@ -216,18 +219,35 @@ def _languages(shared: tuple) -> Languages:
 
 
 def _gathered(lines: DataFrame) -> DataFrame:
-    """(volume, page, alone, rows, before, after) of the lines of each page and three body lines of the pages beside it."""
+    """(volume, page, alone, rows, before, after): the lines of each page and the nearest body lines of the pages beside it.
+
+    A page is a physical unit of bounded size.  Each lends its first and its
+    last line that is neither furniture nor a note; these join the lines of the
+    pages beside it before they are gathered, so no page is joined.
+    """
     rows = lines.where("text is not null").select(F.col("line_id").alias("row_id"), "volume", "page", F.col("line_no").alias("at"), "text", F.coalesce(F.col("zone") == "notes", F.lit(False)).alias("notes"))
+    row = F.struct("at", "row_id", "text", "notes")
+
+    def edges(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for volume, page, own in zip(frame["volume"], frame["page"], frame["rows"]):
+                own = list(own)
+                body = [r["text"] for r, k in zip(own, _kinds(own)) if not k and not r["notes"]]
+                if body:
+                    out += [(volume, page + 1, body[-1], -1), (volume, page - 1, body[0], 1)]
+            yield pd.DataFrame(out, columns=["volume", "page", "text", "lent"])
+
+    paged = rows.where("volume is not null and page is not null").groupBy("volume", "page").agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    lent = paged.mapInPandas(edges, "volume string, page int, text string, lent int")
     alone = F.when(F.col("volume").isNull() | F.col("page").isNull(), F.col("row_id"))
-    pages = rows.groupBy("volume", "page", alone.alias("alone")).agg(F.array_sort(F.collect_list(F.struct("at", "row_id", "text", "notes"))).alias("rows"))
-    body = F.expr("transform(filter(rows, r -> not r.notes), r -> r.text)")
-    edge = pages.where("alone is null").select("volume", "page", body.alias("b")).where("size(b) > 0").select("volume", "page", F.expr("slice(b, 1, 3)").alias("head"), F.expr("slice(b, -least(size(b), 3), 3)").alias("tail"))
-    past = edge.select("volume", (F.col("page") + 1).alias("page"), F.col("tail").alias("before"))
-    come = edge.select("volume", (F.col("page") - 1).alias("page"), F.col("head").alias("after"))
-    return pages.join(past, ["volume", "page"], "left").join(come, ["volume", "page"], "left")
+    together = rows.withColumn("lent", F.lit(0)).unionByName(lent, allowMissingColumns=True).groupBy("volume", "page", alone.alias("alone"))
+    neighbour = lambda side: F.coalesce(F.max(F.when(F.col("lent") == side, F.col("text"))), F.lit(""))
+    gathered = together.agg(F.array_sort(F.collect_list(F.when(F.col("lent") == 0, row))).alias("rows"), neighbour(-1).alias("before"), neighbour(1).alias("after"))
+    return gathered.where("size(rows) > 0")
 
 
-def page_pieces(rows: list[dict], before: list[str], after: list[str], languages: Languages) -> list[tuple[bool, int, str, bool]]:
+def page_pieces(rows: list[dict], before: str, after: str, languages: Languages) -> list[tuple[bool, int, str, bool]]:
     """(notes, row id, piece, whether a sentence ends with it) of a page's lines in reading order, each place once, without furniture."""
     seen, first = set(), []
     for r in rows:
@@ -237,9 +257,8 @@ def page_pieces(rows: list[dict], before: list[str], after: list[str], languages
     cuts: dict[int, list[int]] = {}
     for row, end in sorted(set(_read(first, before, after, languages))):
         cuts.setdefault(row, []).append(end)
-    kinds = furniture([r["text"] for r in first], foot=max((i for i, r in enumerate(first) if not r["notes"]), default=None))
     out = []
-    for r in (r for r, k in zip(first, kinds) if not k):
+    for r in (r for r, k in zip(first, _kinds(first)) if not k):
         at = 0
         for end in (*cuts.get(r["row_id"], ()), len(r["text"])):
             if piece := r["text"][at:end].strip(" \n"):
@@ -260,7 +279,7 @@ def line_pieces(lines: DataFrame, words: list[tuple[str, str]]) -> DataFrame:
         for frame in frames:
             out = []
             for volume, page, alone, own, past, come in zip(*(frame[c].astype(object) for c in ("volume", "page", "alone", "rows", "before", "after"))):
-                found = page_pieces(list(own), [] if past is None else list(past), [] if come is None else list(come), languages)
+                found = page_pieces(list(own), past, come, languages)
                 key = [None if pd.isna(x) else x for x in (volume, page, alone)]
                 out += [(*key, notes, k, row, piece, int(closes)) for k, (notes, row, piece, closes) in enumerate(found)]
             yield pd.DataFrame(out, columns=[c.split()[0] for c in _PIECES.split(", ")]).astype({"page": "Int32", "alone": "Int64"})
@@ -291,7 +310,7 @@ def sentence_ends(addenda: DataFrame | None, lines: DataFrame | None, words: lis
     """(tbl, row_id, elem, end_at) of every sentence end; `words`: (language, function word), a short list.
 
     Lines are gathered by page, a physical unit, never by volume; the pages
-    beside it lend three body lines each by an equi-join on volume and page.
+    beside it lend their nearest body line.
     """
     spark = (addenda if addenda is not None else lines).sparkSession
     shared = uuid.uuid4().hex, spark.sparkContext.broadcast(words)
@@ -314,7 +333,7 @@ def sentence_ends(addenda: DataFrame | None, lines: DataFrame | None, words: lis
             for frame in frames:
                 out = []
                 for own, past, come in zip(frame["rows"], frame["before"], frame["after"]):
-                    found = page_ends(list(own), [] if past is None else list(past), [] if come is None else list(come), languages)
+                    found = page_ends(list(own), past, come, languages)
                     out += [("page_lines", i, 0, e) for i, e in sorted(set(found))]
                 yield pd.DataFrame(out, columns=["tbl", "row_id", "elem", "end_at"])
 

@@ -137,6 +137,32 @@ def test_p2_words():
     assert [scans.numeral(x) for x in ("טו", "יא", "אי", "קכג", "abc", "")] == [15, 11, None, 123, None, None]
 
 
+def test_p2_general_edits_need_their_neighbours():
+    r = scans.Reader([(w, 3) for w in [*HEBREW, "גדולה"]], [("ספר", "מלכים"), ("מלכים", "ארץ")])
+    near = {w for _, _, w in r.candidates("מלכיצ")} | {w for _, _, w in r.candidates("מלכיפם")} | {w for _, _, w in r.candidates("מלים")}
+    assert near == {"מלכים"}  # replaced, added, lost
+    assert r.misread("מלכיצ", "ספר", "ארץ") == "מלכיצ" and r.best("מלכיצ", "ספר", "ארץ") == "מלכים"
+    assert r.misread("מלכיצ", "אדם", "ארץ") is None and r.misread("מלכיצ") is None
+    assert r.misread("שלוז") is None and scans.Reader([("שון", 1)], []).misread("שוז") == "שוז"
+
+
+def test_p2_carry_is_past_any_number_of_notes(spark):
+    lines = [(i, "V", 1, i, "body", "שלום דברים רבים ספר" if i < 3 else "שלום דברים מל-") for i in (1, 2, 3)]
+    lines += [(10 + i, "V", 1, 10 + i, "notes", "אדם גדול ספר שלום") for i in range(40)] + [(60, "V", 2, 1, "body", "כים ארץ ישראל כתב"), (61, "V", 2, 2, "body", "אדם גדול שלום דברים"), (62, "V", 9, 1, None, "ספר מלכים ארץ ישראל")]
+    frame = spark.createDataFrame(lines, "line_id long, volume string, page int, line_no int, zone string, text string")
+    out = {r["page"]: r for r in scans.scan_noise(None, frame, None, [(w, 1) for w in HEBREW], [], spark).collect()}
+    assert out[2]["text"].startswith("מלכים ארץ") and sorted(out) == [1, 2, 9]
+
+
+def test_p6_no_reach_limits(spark):
+    lines = [(1, "V", 1, 1, "body", "שלום דברים רבים ספר מלכים ארץ ישראל."), (9, "V", 2, 9, "body", "\" — אמר הספר מלכים ארץ ישראל כתב")]
+    lines += [(2 + i, "V", 1, 2 + i, "notes", "אדם גדול שלום דברים רבים.") for i in range(6)]
+    frame = spark.createDataFrame(lines, "line_id long, volume string, page int, line_no int, zone string, text string")
+    assert not [r for r in sentences.sentence_ends(None, frame, [("en", "the")]).collect() if r["row_id"] == 1]
+    gap = " " * 90
+    assert sentences.ends(f"Der Abend am 11.{gap}Tischri kam.", "de") == [len(f"Der Abend am 11.{gap}Tischri kam.")]
+
+
 def test_p2_frame(spark):
     tokens = spark.createDataFrame([(1, "V", 1, 1, "ספר", True, "a"), (2, "V", 1, 2, "מל-", False, "a"), (3, "V", 2, 1, "כים", True, "a"), (4, None, None, 1, "שלוס", None, "a"), (5, "V", 1, 3, None, False, "a")], "token_id long, volume string, page int, pos int, text string, nl boolean, noise string")
     addenda = spark.createDataFrame([(1, ["שלום דברים רבים ספר\n[7] אדם\nמלכים ארץ ישראל כתב", None, ""]), (2, None)], "addenda_id long, text array<string>")
