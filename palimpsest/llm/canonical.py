@@ -29,6 +29,13 @@ CYRILLIC = "аеорсухѕіјһԁԛԝкАВЕКМНОРСТУХЅІЈԌ"
 CYRILLIC_AS_LATIN = "aeopcyxsijhdqwkABEKMHOPCTYXSIJG"
 GREEK = "αοινρυκχΑΒΕΖΗΙΚΜΝΟΡΤΥΧϲ"
 GREEK_AS_LATIN = "aoivpukxABEZHIKMNOPTYXc"
+#: Look-alikes of Latin letters in Armenian, Cherokee and Coptic (fixed values).
+DISTANT = (
+    "\u0585\u057d\u0570\u0581\u0578\u0575\u0555\u054f\u053c\u054d"
+    "\u13aa\u13f4\u13df\u13a0\u13ac\u13c0\u13bb\u13ab\u13e6\u13de\u13b7\u13e2\u13d2\u13da\u13a2\u13d9\u13d4\u13c3"
+    "\u2c9f\u2ca5\u2ca3\u2c9e\u2ca4\u2ca2\u2c8e\u2c94\u2c98\u2c9a\u2ca6\u2ca8\u2cac"
+)
+DISTANT_AS_LATIN = "ouhgnjOSLU" "ABCDEGHJKLMPRSTVWZ" "ocpOCPHKMNTYX"
 #: Hebrew point-free letters stand for letterlike signs as well; alphabets whose letters never mix within a word.
 ALPHABETS = ("Latin", "Cyrillic", "Greek", "Hebrew", "Arabic", "Armenian", "Cherokee", "Coptic")
 
@@ -83,7 +90,7 @@ def statement(keep: list[str], wide: bool = True) -> str:
     others = {a: "".join(rf"\p{{{b}}}" for b in ALPHABETS if b != a) for a in ALPHABETS}
     mixed = "|".join(rf"\p{{{a}}}\p{{M}}*[{rest}]" for a, rest in others.items())
     both = "(" + " + ".join(rf"regexp_matches(base, '\p{{{a}}}')::INTEGER" for a in ALPHABETS) + ") >= 2"
-    latin = f"translate(w, {_quoted(CYRILLIC + GREEK)}, {_quoted(CYRILLIC_AS_LATIN + GREEK_AS_LATIN)})"
+    latin = f"translate(w, {_quoted(CYRILLIC + GREEK + DISTANT)}, {_quoted(CYRILLIC_AS_LATIN + GREEK_AS_LATIN + DISTANT_AS_LATIN)})"
     cyrillic = f"translate(w, {_quoted(CYRILLIC_AS_LATIN)}, {_quoted(CYRILLIC)})"
     by_word = (
         rf"nfc_normalize(array_to_string(list_transform(regexp_extract_all(base, '[\p{{L}}\p{{M}}]+|[^\p{{L}}\p{{M}}]+'), "

@@ -176,10 +176,11 @@ def test_p2_frame(spark):
 
 
 def test_p3_forms(spark):
-    rows = [(1, "ﬁ ﬂ"), (2, "Ｇröße １2"), (3, "hаve"), (4, "\ufb2a"), (5, "ש​לום"), (6, "a b"), (7, "ﭏ ℵב"), (8, "e\u0301"), (9, "рукопись"), (10, "שָׁלוֹם"), (11, "plain — “x” a­b"), (12, None), (13, ""), (14, "ה\u05bc\u05b8")]
+    rows = [(1, "ﬁ ﬂ"), (2, "Ｇröße １2"), (3, "hаve"), (4, "\ufb2a"), (5, "ש​לום"), (6, "a b"), (7, "ﭏ ℵב"), (8, "e\u0301"), (9, "рукопись"), (10, "שָׁלוֹם"), (11, "plain — “x” a­b"), (12, None), (13, ""), (14, "ה\u05bc\u05b8"), (15, "g\u0585od \u13aa\u13f4x c\u2c9fp")]
     frame = spark.createDataFrame(rows, "id int, text string")
     out = {r["id"]: (r["canonical"], r["disguised"]) for r in canonical.normalise(frame, "text", ["id"]).collect()}
     assert out[1] == ("fi fl", True) and out[2] == ("Größe 12", True) and out[3] == ("have", True) and out[5] == ("שלום", True) and out[6] == ("a b", True)
+    assert out[15] == ("good ABx cop", True)
     assert out[7] == ("אל אב", True) and out[8] == ("\u00e9", True) and out[4][1]
     assert [out[i][1] for i in (9, 11, 12, 13)] == [False] * 4 and out[12][0] is None and out[13][0] == ""
     twice = spark.createDataFrame([(i, c) for i, (c, _) in out.items()], "id int, text string")
