@@ -334,13 +334,16 @@ def verified(matches: Matches, texts: DataFrame) -> DataFrame:
     give classes of equal windows, whose members are paired.
     """
     key_type = dict(texts.dtypes)["key"]
-    side = lambda s: texts.select(F.col("key").alias(f"key_{s}"), F.col("text").alias(f"text_{s}"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             same = [any(_spans_over(a, b, p["a"], p["b"]) for p in places) for places, a, b in zip(frame["places"], frame["text_a"], frame["text_b"])]
             yield frame.loc[np.array(same, bool), ["key_a", "key_b"]]
 
+    n = matches.pairs.count()  # written, so this reads no more than file footers
+    wanted = matches.pairs.select(F.explode(F.array("key_a", "key_b")).alias("key")).distinct()
+    held = texts.join(_sent(wanted, 2 * n), "key", "left_semi")  # texts in no candidate pair are not shuffled
+    side = lambda s: held.select(F.col("key").alias(f"key_{s}"), F.col("text").alias(f"text_{s}"))
     both = matches.pairs.join(side("a"), "key_a").join(side("b"), "key_b").select("key_a", "key_b", "places", "text_a", "text_b")
     same = both.mapInPandas(run, f"key_a {key_type}, key_b {key_type}")
     return same.unionByName(class_pairs(crowd_windows(matches.crowd, texts))).distinct()
