@@ -33,38 +33,61 @@ def one_apart(a: str, b: str) -> bool:
     return a[k + 1 :] == b[k + 1 :] if len(a) == len(b) else a[k:] == b[k + 1 :]
 
 
+def _neighbours(x: list[str], y: list[str]) -> np.ndarray:
+    """Score of each word of `x` beside each of `y`; near words are found by what is left when a letter is taken out."""
+    table = np.full((len(x), len(y)), MISS, np.int32)
+    gaps: dict[tuple[str, str], list[int]] = {}
+    shorter: dict[str, list[int]] = {}
+    same: dict[str, int] = {}
+    for j, w in enumerate(y):
+        same[w] = j
+        for k in range(len(w)):
+            gaps.setdefault((w[:k], w[k + 1 :]), []).append(j)
+            shorter.setdefault(w[:k] + w[k + 1 :], []).append(j)
+    for i, w in enumerate(x):
+        for k in range(len(w)):
+            table[i, gaps.get((w[:k], w[k + 1 :]), [])] = NEAR  # one letter replaced
+            if (j := same.get(w[:k] + w[k + 1 :])) is not None:
+                table[i, j] = NEAR  # one letter more in `x`
+        table[i, shorter.get(w, [])] = NEAR  # one letter more in `y`
+        if (j := same.get(w)) is not None:
+            table[i, j] = MATCH
+    return table
+
+
 def align(a: list[str], b: list[str]) -> list[tuple[int | None, int | None]]:
-    """Best global alignment within the band; on ties the diagonal, then a gap in `b`, then a gap in `a`."""
+    """Best global alignment within the band; on ties the diagonal, then a gap in `b`, then a gap in `a`.
+
+    A row is done at once: gaps in `a` only carry a value to the right at a
+    fixed loss, so their best is a running maximum.
+    """
     x, y = [bare(w) for w in a], [bare(w) for w in b]
     n, m = len(x), len(y)
     width = max(BAND, abs(n - m) + 2)
-    low = [max(0, i - width) for i in range(n + 1)]
-    high = [min(m, i + width) for i in range(n + 1)]
-    worst = -(10**9)
+    (own, x_at), (other, y_at) = (np.unique(np.array(w, dtype=object), return_inverse=True) if w else (np.empty(0, object), np.empty(0, int)) for w in (x, y))
+    scores = _neighbours(list(own), list(other))
+    out_of = -(10**9)
+    above = np.full(m + 1, out_of)
+    above[: min(m, width) + 1] = GAP * np.arange(min(m, width) + 1)
     moves = []
-    above: dict[int, int] = {}
-    for i in range(n + 1):
-        row: dict[int, int] = {}
-        taken = np.zeros(high[i] - low[i] + 1, np.int8)
-        for j in range(low[i], high[i] + 1):
-            if i == 0 and j == 0:
-                row[0] = 0
-                continue
-            best, move = worst, -1
-            if i and j and j - 1 in above:
-                u, v = x[i - 1], y[j - 1]
-                best, move = above[j - 1] + (MATCH if u == v else NEAR if one_apart(u, v) else MISS), 0
-            if i and j in above and above[j] + GAP > best:
-                best, move = above[j] + GAP, 1
-            if j - 1 in row and row[j - 1] + GAP > best:
-                best, move = row[j - 1] + GAP, 2
-            row[j], taken[j - low[i]] = best, move
-        moves.append(taken)
-        above = row
+    for i in range(1, n + 1):
+        low, high = max(0, i - width), min(m, i + width)
+        diagonal = np.full(high - low + 1, out_of)
+        first = max(low, 1)
+        diagonal[first - low :] = above[first - 1 : high] + scores[x_at[i - 1]][y_at[first - 1 : high]]
+        down = above[low : high + 1] + GAP
+        best = np.maximum(diagonal, down)
+        steps = np.arange(high - low + 1)
+        row = np.maximum.accumulate(best - GAP * steps) + GAP * steps
+        taken = np.where(diagonal >= down, 0, 1)
+        taken[1:][row[:-1] + GAP > best[1:]] = 2
+        moves.append((low, taken))
+        above = np.full(m + 1, out_of)
+        above[low : high + 1] = row
     out: list[tuple[int | None, int | None]] = []
     i, j = n, m
     while i or j:
-        move = moves[i][j - low[i]]
+        move = moves[i - 1][1][j - moves[i - 1][0]] if i else 2
         if move == 0:
             i, j = i - 1, j - 1
             out.append((i, j))
@@ -143,42 +166,53 @@ def sparse_assignment(scores: list[list[float]], accept: float, bounds: list[int
     return out[::-1]
 
 
-def numbered_chain(numbers: list[int], part_lengths: dict[int, int], restart: float = 0.5) -> list[tuple[int, int]]:
-    """(index, part) of the best chain of chapter numbers: rising within a part, or starting the next part."""
+def numbered_chain(numbers: list[int], part_lengths: dict[int, int], restart: float = 0.5, opening: int = 3, closing: int = 20, longest: int = 76) -> list[tuple[int, int]]:
+    """(index, part) of the best chain of chapter numbers: rising within a part, or starting the next part.
+
+    A rise by r adds 1 / r, a new part `restart`: it opens with a number of at
+    most `opening` behind one of at least `closing`.  No number passes its
+    part's length (`longest` where none is given); there are as many parts as
+    `part_lengths` names, or three.  Ties go to the earliest predecessor.
+    """
     if not numbers:
         return []
-    values = [(1.0, None, 1)]
-    for i, number in enumerate(numbers[1:], 1):
-        top: tuple[float, int | None, int] = (1.0, None, 1)
-        for j in range(i):
-            score, _, part = values[j]
-            rise = number - numbers[j]
-            if rise > 0:
-                reached, own = score + 1.0 / rise, part
-            elif number <= 3 and numbers[j] >= 20 and part < 3:
-                reached, own = score + restart, part + 1
-            else:
-                continue
-            if number <= part_lengths.get(own, 76) and reached > top[0]:
-                top = (reached, j, own)
-        values.append(top)
-    at: int | None = max(range(len(values)), key=lambda k: values[k][0])
-    out = []
-    while at is not None:
-        out.append((at, values[at][2]))
-        at = values[at][1]
+    value = np.array(numbers)
+    score, part = np.ones(len(value)), np.ones(len(value), int)
+    before = np.full(len(value), -1)
+    parts = max(part_lengths, default=3)
+    room = np.array([part_lengths.get(k, longest) for k in range(parts + 2)])
+    for i in range(1, len(value)):
+        rise = value[i] - value[:i]
+        opens = (rise <= 0) & (value[i] <= opening) & (value[:i] >= closing) & (part[:i] < parts)
+        gain = np.where(rise > 0, 1.0 / np.maximum(rise, 1), np.where(opens, restart, -np.inf))
+        reached = part[:i] + opens
+        total = np.where(value[i] <= room[reached], score[:i] + gain, -np.inf)
+        j = int(total.argmax())
+        if total[j] > 1.0:
+            score[i], part[i], before[i] = total[j], reached[j], j
+    at, out = int(score.argmax()), []
+    while at >= 0:
+        out.append((at, int(part[at])))
+        at = int(before[at])
     return out[::-1]
 
 
-def unique_anchors(passages: DataFrame, hay: DataFrame, n: int) -> DataFrame:
-    """J4 candidates: (passage, volume, offset) of word n-grams that the volume holds once and the passage holds.
+def located(passages: DataFrame, hay: DataFrame, pad: int = BAND) -> DataFrame:
+    """(passage, volume, n, anchors, from_at, to_at): where in a volume a passage stands.
 
-    Both inputs are (key, at, gram); the join is on the gram.
+    passages(passage, words); hay(volume, at, n, gram), the word n-grams of the
+    volumes with their running places, n in (3, 2); the longer n that finds an
+    anchor decides.  Anchors are n-grams a volume holds once; the greatest
+    group whose offsets lie within the passage's length is believed, the
+    earliest on ties, and padded.  Anchors of a passage are gathered, at most
+    one for each of its words; volumes never are.
     """
-    once = hay.groupBy("volume", "gram").agg(F.count("*").alias("_n"), F.min("at").alias("hay_at")).where("_n = 1").drop("_n")
-    return passages.join(once, "gram").select("passage", "volume", (F.col("hay_at") - F.col("at")).alias("offset"))
-
-
-def offset_cluster(offset: Column, width: int) -> Column:
-    """Coarse bin of an anchor's offset; the best bin and its neighbour locate the passage."""
-    return F.floor(offset / width)
+    size = F.size("words")
+    gram = lambda n: F.expr(f"transform(sequence(0, size(words) - {n}), i -> struct(cast(i as long) as i, {n} as n, array_join(slice(words, i + 1, {n}), ' ') as gram))")
+    grams = passages.select("passage", size.alias("span"), F.explode(F.concat(*(F.when(size >= n, gram(n)).otherwise(F.array()) for n in (3, 2)))).alias("g")).select("passage", "span", "g.*")
+    once = hay.groupBy("volume", "n", "gram").agg(F.count("*").alias("k"), F.min("at").alias("at")).where("k = 1").drop("k")
+    offsets = grams.join(once, ["n", "gram"]).groupBy("passage", "volume", "span", "n").agg(F.array_sort(F.collect_list(F.col("at") - F.col("i"))).alias("o"))
+    groups = F.expr("transform(o, (x, j) -> struct(j + 1 - size(filter(o, y -> y < x - span)) as anchors, -j as turn))")
+    best = offsets.withColumn("b", F.array_max(groups)).withColumn("last", F.expr("get(o, -b.turn)")).withColumn("from_at", F.expr("array_min(filter(o, y -> y >= last - span))"))
+    longer = best.groupBy("passage", "volume").agg(F.max_by(F.struct("n", F.col("b.anchors").alias("anchors"), "from_at", "last", "span"), "n").alias("r")).select("passage", "volume", "r.*")
+    return longer.select("passage", "volume", "n", "anchors", F.greatest(F.lit(0), F.col("from_at") - pad).alias("from_at"), (F.col("last") + F.col("span") + pad).alias("to_at"))

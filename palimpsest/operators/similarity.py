@@ -145,3 +145,12 @@ def chains(matches: DataFrame, unit: str = "unit") -> DataFrame:
         return pd.DataFrame({unit: frame[unit].iloc[0], "i": [i for i, _ in chain], "h": [h for _, h in chain]})
 
     return matches.select(unit, "i", "h").where("i is not null and h is not null").groupBy(unit).applyInPandas(run, schema)
+
+
+@F.pandas_udf(T.DoubleType())
+def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    """2 × matched words / words of both, matched as the longest common blocks; 0 if both are empty."""
+    from difflib import SequenceMatcher
+
+    ratio = lambda x, y: SequenceMatcher(None, x, y).ratio() if x or y else 0.0
+    return pd.Series([ratio([] if x is None else list(x), [] if y is None else list(y)) for x, y in zip(a, b)], dtype=float)

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions import normal
+from palimpsest.operators import alignment, lexicon
 from palimpsest.operators.similarity import stroke_only
+from palimpsest.plans.lineage import cut
 
 #: Trust in the instruments, the best first (fixed value).
 RANK = ("eye", "layer", "tesseract")
@@ -62,6 +64,44 @@ def losers(readings: DataFrame, decided: DataFrame) -> DataFrame:
     return other.groupBy("token", "form").agg(F.min_by("witness", "n").alias("witness"))
 
 
+def arbitrated(pages: DataFrame, lexicon_words: DataFrame, key: list[str]) -> DataFrame:
+    """V4: (key, at, part, n, form, why, opens, alt): one reading of each page from several.
+
+    pages(key, backbone array<string>, by, others array<struct<by, words>>,
+    opens array<int>): the readings are aligned with the backbone and decided
+    place by place (V2, V3); `part` 1.  Words the backbone lacks stand before
+    their place, `part` 0: those of the best-ranked reader, also when it has
+    none there, the longest and then the first of equals; `most` if another
+    reader inserts the same there, else `lex` if it is sound, else `doubt`.
+    A page is aligned at a time; everything else is joined by key and place.
+    """
+    readers = pages.select(*key, "backbone", F.posexplode("others").alias("r", "o")).select(*key, "backbone", "r", F.col("o.by").alias("by"), F.col("o.words").alias("words"))
+    pairs = readers.select(*key, "r", "by", "words", F.posexplode(alignment.aligned("backbone", "words")).alias("n", "p")).select(*key, "r", "by", "n", F.col("p.i").alias("i"), F.col("p.j").alias("j"), F.expr("get(words, p.j)").alias("word"))
+    placed = cut(alignment.projected(pairs, [*key, "r", "by"]))
+    base = pages.select(*key, F.col("by").alias("witness"), "opens", F.posexplode("backbone").alias("at", "form"))
+    own = base.select(*key, "at", F.lit(0).alias("n"), "form", "witness")
+    other = placed.where("not inserted").select(*key, "at", (F.col("r") + 1).alias("n"), F.col("word").alias("form"), F.col("by").alias("witness"))
+    inserted = placed.where("inserted")
+    forms = own.select("form").unionByName(inserted.select(F.col("word").alias("form"))).unionByName(other.select("form")).distinct()
+    sound = lexicon.token_quality(forms, "form", "form", lexicon_words).select("form", ((F.col("words") > 0) & ~F.col("suspect")).alias("attested"))
+    known = cut(own.unionByName(other).withColumn("token", F.struct(*key, "at")).join(sound, "form", "left").select("token", "n", "form", "witness", F.coalesce("attested", F.lit(False)).alias("attested")))
+    decided = cut(decisions(known))
+    lost = known.where("form is not null").join(decided.select("token", F.col("form").alias("won")), "token").where(normal.bare("form") != normal.bare("won"))
+    alt = lost.groupBy("token", "form").agg(F.min(F.struct("n", "witness")).alias("f")).groupBy("token").agg(F.transform(F.array_sort(F.collect_list(F.struct("f.n", "form", "f.witness"))), lambda a: F.struct(a["form"].alias("form"), a["witness"].alias("witness"))).alias("alt"))
+    starts = base.select(F.struct(*key, "at").alias("token"), F.coalesce(F.array_contains("opens", F.col("at")), F.lit(False)).alias("opens"))
+    spoken = decided.join(starts, "token").join(alt, "token", "left").select("token.*", F.lit(1).alias("part"), F.lit(0).alias("n"), "form", "why", "opens", "alt")
+
+    runs = inserted.groupBy(*key, "at", "r").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "word"))), lambda s: s["word"]).alias("run"))
+    grid = runs.select(*key, "at").distinct().join(readers.select(*key, "r", "by"), key).join(runs, [*key, "at", "r"], "left")
+    size = F.coalesce(F.size("run"), F.lit(0))
+    gathered = grid.groupBy(*key, "at").agg(F.min(F.struct(_rank("by").alias("rank"), (-size).alias("less"), F.col("r"))).alias("best"), F.collect_list(F.struct("r", "run")).alias("all"))
+    taken = gathered.select(*key, "at", F.expr("filter(all, x -> x.r = best.r)[0].run").alias("run"), F.expr("flatten(transform(filter(all, x -> x.r != best.r and x.run is not null), x -> x.run))").alias("rest"))
+    words = taken.select(*key, "at", F.transform("rest", normal.bare).alias("rest"), F.posexplode("run").alias("n", "form")).join(sound, "form", "left")
+    why = F.when(F.array_contains("rest", normal.bare("form")), "most").when(F.col("attested"), "lex").otherwise("doubt")
+    added = words.select(*key, "at", F.lit(0).alias("part"), "n", "form", why.alias("why"), F.lit(False).alias("opens"), F.lit(None).cast(alt.schema["alt"].dataType).alias("alt"))
+    return spoken.unionByName(added)
+
+
 def reasons(tokens: DataFrame) -> DataFrame:
     """(why, n, share) of all tokens."""
     counts = tokens.groupBy("why").agg(F.count("*").alias("n"))

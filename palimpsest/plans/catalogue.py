@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 import pandas as pd
@@ -13,7 +12,7 @@ from palimpsest.functions import legacy, normal, tokens
 from palimpsest.operators import alignment, lexicon, quotation, repair, search, similarity, spans, structure, windows, witness
 from palimpsest.plans import duck
 from palimpsest.sources import sinks, transcript
-from palimpsest.plans.lineage import shared_dir
+from palimpsest.plans.lineage import once, scratch, written
 from palimpsest.sources.tables import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,6 +34,10 @@ def register(sql: str | None = None) -> Callable[[Query], Query]:
 # --- scalar functions over whole tables: name → (table, key, column, DuckDB expression)
 
 _MARKS = "[׳״''\"’”]"
+#: What stands in brackets, in either orientation of the pair.
+BRACKETED = r"[(\[][^()\[\]]*[)\]]|[)\]][^()\[\]]*[(\[]"
+_UNTAGGED = "regexp_replace(text, '<[^>]*>', ' ', 'g')"
+_UNBRACKETED = f"regexp_replace(text, '{BRACKETED}', ' ', 'g')"
 SCALARS: dict[str, tuple[str, str, Callable[[], Column], str]] = {
     "ref_N1_fold": ("tokens", "token_id", lambda: normal.fold("text"), duck.fold("text")),
     "ref_N2_points": ("tokens", "token_id", lambda: normal.strip_points("text"), duck.points("text")),
@@ -43,13 +46,13 @@ SCALARS: dict[str, tuple[str, str, Callable[[], Column], str]] = {
     "ref_N6_markup": ("documents", "doc_id", lambda: normal.without_markup("text"), "trim(regexp_replace(regexp_replace(coalesce(text, ''), '<[^>]*>', ' ', 'g'), '[ \\t\\n\\r\\f]+', ' ', 'g'))"),
     "ref_N7_tidy": ("tokens", "token_id", lambda: normal.tidy("text"), "trim(regexp_replace(regexp_replace(text, '[*|\\\\_^~•]', ' ', 'g'), '[ \\t\\n\\r\\f]+', ' ', 'g'), ' .,:;-·')"),
     "ref_N8_escape": ("documents", "doc_id", lambda: normal.escaped("text"), "replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"),
-    "ref_N9_searchable": ("page_lines", "line_id", lambda: normal.searchable("text"), f"translate(regexp_replace({duck.points(chr(114) + chr(101) + 'gexp_replace(text, ' + chr(39) + '<[^>]*>' + chr(39) + ', ' + chr(39) + ' ' + chr(39) + ', ' + chr(39) + 'g' + chr(39) + ')')}, '{_MARKS}', '', 'g'), 'ךםןףץ', 'כמנפצ')"),
+    "ref_N9_searchable": ("page_lines", "line_id", lambda: normal.searchable("text"), f"translate(regexp_replace({duck.points(_UNTAGGED)}, '{_MARKS}', '', 'g'), 'ךםןףץ', 'כמנפצ')"),
     "ref_N10_logical": ("page_lines", "line_id", lambda: normal.logical_order("text"), "array_to_string(list_transform(regexp_extract_all(translate(reverse(regexp_replace(text, '[\\x{200E}\\x{200F}\\x{202A}-\\x{202E}]', '', 'g')), '()[]{}<>', ')(][}{><'), '[0-9A-Za-z]+(?:[.,:/-][0-9A-Za-z]+)*|[^0-9A-Za-z]+'), lambda p: CASE WHEN regexp_matches(p, '^[0-9A-Za-z]') THEN reverse(p) ELSE p END), '')"),
     "ref_N12_numeral": ("page_lines", "line_id", lambda: normal.numeral("page"), "CASE WHEN page = 15 THEN 'טו' WHEN page = 16 THEN 'טז' WHEN page BETWEEN 1 AND 99 THEN (CASE WHEN page >= 10 THEN substr('יכלמנסעפצ', page // 10, 1) ELSE '' END) || (CASE WHEN page % 10 > 0 THEN substr('אבגדהוזחט', page % 10, 1) ELSE '' END) END"),
     "ref_N16_script_runs": ("page_lines", "line_id", lambda: F.array_join(normal.script_runs("text"), "¦"), "array_to_string(regexp_extract_all(text, '[א-ת][^A-Za-z\\x{C0}-\\x{24F}]*|[A-Za-z\\x{C0}-\\x{24F}][^א-ת]*'), '¦')"),
     "ref_T2_words": ("page_lines", "line_id", lambda: F.array_join(tokens.words("text"), " "), f"array_to_string({duck.words('text')}, ' ')"),
     "ref_T3_damaged": ("tokens", "token_id", lambda: tokens.is_damaged("text"), f"len({duck.words('text')}) > 1 AND NOT regexp_matches(text, '[־‐‑‒–—-]')"),
-    "ref_T7_comparable": ("page_lines", "line_id", lambda: F.array_join(F.transform(tokens.words(F.regexp_replace("text", r"[(\[][^()\[\]]*[)\]]", " ")), normal.fold), " "), f"array_to_string(list_transform({duck.words(chr(114) + 'egexp_replace(text, ' + chr(39) + '[(\\[][^()\\[\\]]*[)\\]]' + chr(39) + ', ' + chr(39) + ' ' + chr(39) + ', ' + chr(39) + 'g' + chr(39) + ')')}, lambda z: {duck.fold('z')}), ' ')"),
+    "ref_T7_comparable": ("page_lines", "line_id", lambda: F.array_join(F.transform(tokens.words(F.regexp_replace("text", BRACKETED, " ")), normal.fold), " "), f"array_to_string(list_transform({duck.words(_UNBRACKETED)}, lambda z: {duck.fold('z')}), ' ')"),
     "ref_P4_wedged": ("tokens", "token_id", lambda: F.col("text").rlike(r"[א-ת][\\|^_~*•.:;!?][א-ת]"), "regexp_matches(text, '[א-ת][\\\\|^_~*•.:;!?][א-ת]')"),
 }
 
@@ -190,6 +193,11 @@ def ref_T9_lexicon(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _lexicon(spark: SparkSession, d: str) -> DataFrame:
+    """(word, n) of the clean witnesses, written once for all queries of a session."""
+    return once(spark, d, "lexicon", lambda: _build_lexicon(spark, d))
+
+
+def _build_lexicon(spark: SparkSession, d: str) -> DataFrame:
     return tokens.lexicon(load(spark, d, "corpus", "text").where("text is not null"), "text")
 
 
@@ -342,6 +350,11 @@ def ref_E7_presence(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _aligned(spark: SparkSession, d: str) -> DataFrame:
+    """The alignment of each page's tokens with its lines, written once for all queries of a session that use it."""
+    return once(spark, d, "aligned", lambda: _align_pages(spark, d))
+
+
+def _align_pages(spark: SparkSession, d: str) -> DataFrame:
     pages = _page_words(spark, d)
     return pages.select("volume", "page", "read", "layer", F.posexplode(alignment.aligned("read", "layer")).alias("n", "p")).select("volume", "page", "n", F.col("p.i").alias("i"), F.col("p.j").alias("j"), F.expr("get(`read`, p.i)").alias("own"), F.expr("get(layer, p.j)").alias("word"))
 
@@ -535,11 +548,16 @@ def ref_G6_gain(spark: SparkSession, d: str) -> DataFrame:
     return v.withColumn("gain", F.round(1 - F.col("rate") / F.nullif(base, F.lit(0.0)), 4))
 
 
-_MISREAD = f"WITH {duck.LEX}, m AS (SELECT token_id, {duck.bare('form')} AS read, {duck.bare('text')} AS tru FROM ({_READINGS})), w AS (SELECT DISTINCT read AS word FROM m UNION SELECT DISTINCT tru FROM m), k AS (SELECT word, {duck.attested('word')} AS ok FROM w), g AS (SELECT token_id, read, tru FROM m JOIN k a ON a.word = m.read JOIN k b ON b.word = m.tru WHERE NOT a.ok AND b.ok AND read <> '' AND tru <> '')"
+_MISREAD = f"WITH {duck.LEX}, m AS (SELECT token_id, {duck.bare('form')} AS read, {duck.bare('text')} AS tru FROM ({_READINGS}) WHERE witness <> 'guide'), w AS (SELECT DISTINCT read AS word FROM m UNION SELECT DISTINCT tru FROM m), k AS (SELECT word, {duck.attested('word')} AS ok FROM w), g AS (SELECT token_id, read, tru FROM m JOIN k a ON a.word = m.read JOIN k b ON b.word = m.tru WHERE NOT a.ok AND b.ok AND read <> '' AND tru <> '')"
 
 
 def _misreadings(spark: SparkSession, d: str) -> DataFrame:
-    m = _alternatives(spark, d).select("token_id", normal.bare("form").alias("read"), normal.bare("text").alias("true")).where("`read` != '' and `true` != ''")
+    """(token_id, read, true), written once for all queries of a session that learn from it."""
+    return once(spark, d, "misreadings", lambda: _find_misreadings(spark, d))
+
+
+def _find_misreadings(spark: SparkSession, d: str) -> DataFrame:
+    m = _alternatives(spark, d).where("witness != 'guide'").select("token_id", normal.bare("form").alias("read"), normal.bare("text").alias("true")).where("`read` != '' and `true` != ''")
     lex = _lexicon(spark, d)
     judged = lexicon.attested(lexicon.attested(m, lex, "read").withColumnRenamed("attested", "read_ok"), lex, "true").withColumnRenamed("attested", "true_ok")
     return judged.where("not read_ok and true_ok").select("token_id", "read", "true")
@@ -685,7 +703,7 @@ def ref_V7_picked(spark: SparkSession, d: str) -> DataFrame:
     return repair.picked(ref_V6_variants(spark, d), _lexicon(spark, d))
 
 
-_V8 = f"WITH {duck.LEX}, seams AS ({_SEAMS}), forms AS ({_FORMS}), c AS (SELECT word, unnest(generate_series(2, length(word) - 2)) AS i FROM forms WHERE length(word) >= 4), x AS (SELECT word, substr(word, 1, i) AS l, substr(word, i + 1) AS r FROM c), y AS (SELECT x.* FROM x SEMI JOIN seams ON x.l = seams.a AND x.r = seams.b WHERE l IN (SELECT word FROM lex) AND r IN (SELECT word FROM lex)) SELECT word, min(l) AS \"left\", min(r) AS \"right\" FROM y GROUP BY word HAVING count(*) = 1"
+_V8 = f"WITH {duck.LEX}, seams AS ({_SEAMS}), forms AS ({_FORMS}), c AS (SELECT word, unnest(generate_series(2, length(word) - 2)) AS i FROM forms WHERE length(word) >= 4), x AS (SELECT word, substr(word, 1, i) AS l, substr(word, i + 1) AS r FROM c), y AS (SELECT x.* FROM x SEMI JOIN seams ON x.l = seams.a AND x.r = seams.b WHERE {duck.attested('l')} AND {duck.attested('r')}) SELECT word, min(l) AS \"left\", min(r) AS \"right\" FROM y GROUP BY word HAVING count(*) = 1"
 
 
 @register(_V8)
@@ -834,39 +852,16 @@ def ref_K5_package(spark: SparkSession, d: str) -> DataFrame:
 # --- structure: candidates, anchors, scores, assignment
 
 
-@register("SELECT u.unit_id, round(CASE WHEN via = 'numeral' THEN 1.0 ELSE 0 END + 1.6 * coalesce(v.score, 0) + CASE WHEN via <> 'front' THEN 0.30 ELSE 0 END + CASE WHEN token_at = 0 THEN 0.25 ELSE 0 END, 6) AS total, CASE WHEN via = 'numeral' THEN 1.0 ELSE 0 END + 1.6 * coalesce(v.score, 0) + CASE WHEN via <> 'front' THEN 0.30 ELSE 0 END + CASE WHEN token_at = 0 THEN 0.25 ELSE 0 END >= 0.80 AS accepted FROM (SELECT DISTINCT unit_id, via, token_at FROM units) u LEFT JOIN verification v USING (unit_id)")
-def ref_E8_scores(spark: SparkSession, d: str) -> DataFrame:
-    """Combined score of each placed unit, and whether it is accepted."""
-    u = load(spark, d, "units", "unit_id", "via", "token_at").distinct().join(load(spark, d, "verification", "unit_id", "score"), "unit_id", "left")
-    flag = lambda c, w: F.when(c, w).otherwise(0.0)
-    total = flag(F.col("via") == "numeral", 1.0) + 1.6 * F.coalesce("score", F.lit(0.0)) + flag(F.col("via") != "front", 0.30) + flag(F.col("token_at") == 0, 0.25)
-    return u.select("unit_id", F.round(total, 6).alias("total"), (total >= 0.80).alias("accepted"))
-
-
-@register("SELECT token_id, text FROM (SELECT token_id, text, lag(text) OVER (PARTITION BY volume, page ORDER BY pos, token_id) AS before FROM tokens WHERE text IS NOT NULL) WHERE regexp_matches(text, '^(?:[א-ט]|[י-ע]?[א-ט]?|טו|טז)\\.$') AND length(text) BETWEEN 2 AND 3 AND (before IS NULL OR regexp_matches(before, '[.!?׃]$'))")
-def ref_P9_strict_candidates(spark: SparkSession, d: str) -> DataFrame:
-    """Numerals that open a sentence."""
-    before = F.lag("text").over(Window.partitionBy("volume", "page").orderBy("pos", "token_id"))
-    base = load(spark, d, "tokens", "token_id", "volume", "page", "pos", "text").where("text is not null").withColumn("before", before)
-    return base.where(F.col("text").rlike(r"^(?:[א-ט]|[י-ע]?[א-ט]?|טו|טז)\.$") & F.length("text").between(2, 3) & (F.col("before").isNull() | F.col("before").rlike("[.!?׃]$"))).select("token_id", "text")
-
-
 @register("SELECT volume, part_no, min(page * 100000 + token_at) AS anchor FROM units GROUP BY volume, part_no")
 def ref_P10_anchors(spark: SparkSession, d: str) -> DataFrame:
     """Where each part begins in each volume."""
     return load(spark, d, "units", "volume", "part_no", "page", "token_at").groupBy("volume", "part_no").agg(F.min(F.col("page") * 100000 + F.col("token_at")).alias("anchor"))
 
 
-@register("SELECT line_id, CASE WHEN p > 0 THEN substr(text, 1, p - 1) ELSE '' END AS label, CASE WHEN p > 0 THEN substr(text, p + 3) ELSE text END AS tail FROM (SELECT line_id, text, strpos(text, ' — ') AS p FROM page_lines WHERE text IS NOT NULL)")
-def ref_P11_label_split(spark: SparkSession, d: str) -> DataFrame:
-    """Lines split at their first dash."""
-    base = load(spark, d, "page_lines", "line_id", "text").where("text is not null").withColumn("p", F.locate(" — ", F.col("text")))
-    return base.select("line_id", F.expr("if(p > 0, substring(text, 1, p - 1), '')").alias("label"), F.expr("if(p > 0, substring(text, p + 3), text)").alias("tail"))
-
-
 def _page_scores(spark: SparkSession, d: str) -> DataFrame:
     """(volume, page, section, score): containment of each page's 4-grams in each chapter sharing any."""
-    words = load(spark, d, "page_lines", "volume", "page", "text").where("text is not null").groupBy("volume", "page").agg(F.concat_ws("", F.array_sort(F.collect_list("text"))).alias("text"))
+    ordered = F.array_sort(F.collect_list(F.struct("line_no", "line_id", "text")))
+    words = load(spark, d, "page_lines", "volume", "page", "line_no", "line_id", "text").where("text is not null").groupBy("volume", "page").agg(F.concat_ws("", F.transform(ordered, lambda s: s["text"])).alias("text"))
     pages = words.select("volume", "page", tokens.grams(normal.letters_only("text"), 4).alias("g")).where("size(g) > 0")
     chapters = load(spark, d, "corpus", "kind", "lang", "part_no", "chapter", "text").where("kind = 'ch' and lang = 'he'")
     held = chapters.select((F.col("part_no") * 1000 + F.col("chapter")).alias("section"), F.explode(tokens.grams(normal.letters_only("text"), 4)).alias("gram")).distinct()
@@ -892,12 +887,6 @@ def ref_J5_monotone_pages(spark: SparkSession, d: str) -> DataFrame:
     return _by_volume(_page_scores(spark, d), lambda scores, pages, sections: list(enumerate(alignment.monotone_pages(scores))), "volume page section")
 
 
-@register()
-def ref_J6_sparse_assignment(spark: SparkSession, d: str) -> DataFrame:
-    """Strictly rising chapters for the pages that earn one."""
-    return _by_volume(_page_scores(spark, d), lambda scores, pages, sections: alignment.sparse_assignment(scores, 0.05), "volume page section")
-
-
 @register()
 def ref_J7_numbered_chain(spark: SparkSession, d: str) -> DataFrame:
     """The best chain of the units' chapter numbers in each volume."""
@@ -911,16 +900,6 @@ def ref_J7_numbered_chain(spark: SparkSession, d: str) -> DataFrame:
     return units.groupBy("volume").applyInPandas(run, "volume string, unit_id string, part int")
 
 
-@register()
-def ref_J10_restored(spark: SparkSession, d: str) -> DataFrame:
-    """The lines' words collated with the tokens: guide where equal, else kept if attested, else replaced with the old form saved."""
-    pairs = _aligned(spark, d).where("i is not null and j is not null").select("volume", "page", "i", "own", "word", normal.bare("own").alias("bare"))
-    judged = lexicon.attested(pairs, _lexicon(spark, d), "bare")
-    same = normal.bare("own") == normal.bare("word")
-    why = F.when(same, "guide").when(F.col("attested"), "keep").otherwise("fix")
-    return judged.select("volume", "page", "i", F.when(why == "fix", F.col("word")).otherwise(F.col("own")).alias("form"), why.alias("why"), F.when(why == "fix", F.col("own")).alias("was"), F.when(why == "keep", F.col("word")).alias("other"))
-
-
 @register(f"WITH {_RANGES} SELECT volume, w * 2000 AS from_at, count(*) AS pages, min(page) AS first_page FROM (SELECT volume, page, unnest(generate_series(start_at // 2000, (start_at + n - 1) // 2000)) AS w FROM r) GROUP BY volume, w")
 def ref_J13_window_pages(spark: SparkSession, d: str) -> DataFrame:
     """Pages that each window of 2,000 characters touches."""
@@ -928,13 +907,6 @@ def ref_J13_window_pages(spark: SparkSession, d: str) -> DataFrame:
     return held.groupBy("volume", (F.col("w") * 2000).alias("from_at")).agg(F.count("*").alias("pages"), F.min("page").alias("first_page"))
 
 
-@register()
-def ref_J14_bijection(spark: SparkSession, d: str) -> DataFrame:
-    """Verbatim runs of passage pairs that overlap on neither side."""
-    own = ref_J1_quotations(spark, d).groupBy("a", "b").agg(F.collect_list(F.struct("c_start", "c_end", "b_start", "b_end")).alias("s"))
-    return own.select("a", "b", F.explode(quotation.bijection("s")).alias("r")).select("a", "b", "r.*")
-
-
 @register()
 def ref_J17_elisions(spark: SparkSession, d: str) -> DataFrame:
     """Substitutions where only one side is an etcetera, and the two pairs behind each as its debris."""
@@ -966,15 +938,6 @@ def ref_V5_welds(spark: SparkSession, d: str) -> DataFrame:
     return parts.join(layer, ["volume", "page", "whole"], "left_semi").groupBy("token_id").agg(F.max("n").alias("fragments"))
 
 
-@register()
-def ref_V10_mended(spark: SparkSession, d: str) -> DataFrame:
-    """Each broken form with its first repair that holds: closed up, replaced, split."""
-    closed = ref_V9_closed(spark, d).join(load(spark, d, "tokens", "token_id", "text"), "token_id").select(F.col("text").alias("word"), F.lit(None).cast("boolean").alias("protected"), F.col("shut").alias("fixed"), F.lit("closed").alias("how"), F.lit(1).alias("k")).distinct()
-    replaced = ref_V7_picked(spark, d).select("word", "protected", "fixed", F.lit("replaced").alias("how"), F.lit(2).alias("k"))
-    cut = ref_V8_splits(spark, d).join(_broken(spark, d).where("not protected"), "word").select("word", "protected", F.concat_ws(" ", "left", "right").alias("fixed"), F.lit("split").alias("how"), F.lit(3).alias("k"))
-    return closed.unionByName(replaced).unionByName(cut).groupBy("word", "protected").agg(F.min_by("fixed", "k").alias("fixed"), F.min_by("how", "k").alias("how"))
-
-
 @register()
 def ref_W3_snapped(spark: SparkSession, d: str) -> DataFrame:
     """Display spans moved out to whole words."""
@@ -994,7 +957,7 @@ def ref_G16_order(spark: SparkSession, d: str) -> DataFrame:
     """Upper median over pages of the share of words in the longest increasing chain."""
     chain = ref_E5_chain(spark, d).groupBy("unit").agg(F.count("*").alias("kept"))
     size = ref_J4_anchors(spark, d).select(F.concat_ws(":", "volume", "page").alias("unit"), "anchors").where("anchors >= 2")
-    ratios = chain.join(size, "unit").select(F.round(F.least(F.lit(1.0), F.col("kept") / F.col("anchors")), 4).alias("r"))
+    ratios = written(chain.join(size, "unit").select(F.round(F.least(F.lit(1.0), F.col("kept") / F.col("anchors")), 4).alias("r")), "ratios")
     n = ratios.count()
     return ratios.orderBy("r").offset(n // 2).limit(1).select(F.lit(n).alias("pages"), F.col("r").alias("median"))
 
@@ -1002,24 +965,8 @@ def ref_G16_order(spark: SparkSession, d: str) -> DataFrame:
 @register("SELECT DISTINCT unit_id, volume, page, score FROM units")
 def ref_K1_json(spark: SparkSession, d: str) -> DataFrame:
     """Units written as JSON and read back."""
-    path = f"{shared_dir(spark).rstrip('/')}/json-{uuid.uuid4().hex}"
+    path = scratch(spark, "json")
     sinks.write_json(load(spark, d, "units", "unit_id", "volume", "page", "score").distinct(), path)
     return spark.read.schema("unit_id string, volume string, page int, score double").json(path)
 
 
-@register()
-def ref_J8_seams(spark: SparkSession, d: str) -> DataFrame:
-    """Where each page's lines part between what its tokens' first and second halves quote."""
-    lines = load(spark, d, "page_lines", "line_id", "text").where("text is not null").select(F.col("line_id").alias("unit"), "text")
-    stops = tokens.spans(lines, "unit", "text")
-    cuts = stops.where(F.col("token").rlike("[.!?׃]$")).select("unit", F.col("end_at").alias("cut")).unionByName(lines.select("unit", F.length("text").cast("long").alias("cut"))).distinct()
-    shown = _display(spark, d).select(F.col("line_id").alias("unit"), F.when(F.col("start_at") % 2 == 0, "a").otherwise("b").alias("side"), "start_at", "end_at")
-    heads = stops.where(F.col("token").rlike(r"^\d+$")).select("unit", F.col("start_at").alias("at"))
-    return structure.seams(cuts, shown, heads)
-
-
-@register()
-def ref_J11_trace(spark: SparkSession, d: str) -> DataFrame:
-    """The place among a page's tokens of every word of its lines."""
-    pages = _page_words(spark, d).select("volume", "page", F.posexplode(structure.traced("layer", "read")).alias("i", "place"))
-    return pages

@@ -6,10 +6,12 @@ import atexit
 import json
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 _SCRATCH: list[tuple[SparkSession, str]] = []
+_ONCE: dict[tuple[str, str, str], DataFrame] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -41,6 +43,7 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 def release() -> None:
     """Delete every scratch folder handed out so far; results not yet read from them are lost."""
+    _ONCE.clear()
     while _SCRATCH:
         spark, path = _SCRATCH.pop()
         try:
@@ -70,6 +73,14 @@ def written(frame: DataFrame, name: str) -> DataFrame:
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
+def once(spark: SparkSession, base: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """What `build` gives, written when it is first asked for in this session under (`base`, `name`) and read by all later users."""
+    key = (spark.sparkContext.applicationId, base, name)
+    if key not in _ONCE:
+        _ONCE[key] = written(build(), name)
+    return _ONCE[key]
+
+
 class Manifests:
     """Numbered JSON manifests in `path`; the highest number holds, so a reader sees the old state or the new one.
 

@@ -36,7 +36,7 @@ def overwritten(sections: DataFrame) -> DataFrame:
 def transcript(frame: DataFrame, text: str = "value", least_letters: int = 0, keep: tuple[str, ...] = ()) -> DataFrame:
     """S3: (keep, page, body, start_at) of transcripts with page banners, start_at running over the bodies of one transcript."""
     pages = F.regexp_extract_all(text, F.lit(BANNER), F.lit(1))
-    bodies = F.slice(F.split(text, BANNER), 2, 1_000_000)
+    bodies = F.filter(F.split(text, BANNER), lambda b, i: i > 0)
     zipped = F.transform(F.arrays_zip(pages.alias("p"), bodies.alias("b")), lambda s: F.struct(s["p"].cast("int").alias("page"), F.btrim(s["b"], F.lit("\n")).alias("body")))
     rows = frame.select(*keep, F.posexplode(zipped).alias("n", "s"), zipped.alias("all")).select(
         *keep, F.col("s.page").alias("page"), F.col("s.body").alias("body"), F.expr("aggregate(slice(all, 1, n), 0, (a, x) -> a + length(x.body))").alias("start_at")
