@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from palimpsest.plans.lineage import written
+
 #: Pairs of letters that scanning confuses, by substitution cost (fixed values).
 CHEAP = {0.10: "כך מם נן פף צץ", 0.35: "דר דך רך בכ בם כם הח חת הת הן גנ גז וי ון וז ין טס טם סם עצ לג שם"}
 #: Pairs of letters that differ by one stroke (fixed values).
@@ -28,13 +30,14 @@ def cosine(queries: DataFrame, sections: DataFrame) -> DataFrame:
     are dropped before the join, as are grams no unit holds, so only informative
     postings are shuffled.  Ties go to the greater section key.
     """
-    total = sections.select("section").distinct().count()
-    weights = idf(sections, total).where("weight > 0")
-    held = sections.join(weights, "gram")
-    norms = held.groupBy("section").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("s_norm"))
-    weighted = queries.join(weights, "gram")
-    q_norms = weighted.groupBy("unit").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("q_norm"))
-    dots = weighted.join(sections, "gram").groupBy("unit", "section").agg(F.sum(F.col("weight") * F.col("weight")).alias("dot"))
+    postings = written(sections, "postings")
+    total = postings.select("section").distinct().count()
+    square = F.col("weight") * F.col("weight")
+    held = written(postings.join(idf(postings, total).where("weight > 0"), "gram").select("section", "gram", square.alias("square")), "weighed")
+    asked = queries.join(held.groupBy("gram").agg(F.first("square").alias("square")), "gram")
+    norms = held.groupBy("section").agg(F.sqrt(F.sum("square")).alias("s_norm"))
+    q_norms = asked.groupBy("unit").agg(F.sqrt(F.sum("square")).alias("q_norm"))
+    dots = queries.join(held, "gram").groupBy("unit", "section").agg(F.sum("square").alias("dot"))
     scored = dots.join(norms, "section").join(q_norms, "unit").select("unit", "section", F.round(F.col("dot") / (F.col("s_norm") * F.col("q_norm")), 4).alias("score"))
     order = Window.partitionBy("unit").orderBy(F.desc("score"), F.desc("section"))
     return scored.withColumn("rank", F.row_number().over(order))
