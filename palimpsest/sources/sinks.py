@@ -6,8 +6,10 @@ import base64
 import gzip
 import json
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def write_json(frame: DataFrame, path: str) -> None:
@@ -42,3 +44,9 @@ def data_page(payload: dict, title: str) -> str:
     """K3: a page that carries `payload` as a gzip and base64 island."""
     packed = base64.b64encode(gzip.compress(json.dumps(payload, ensure_ascii=False, sort_keys=True).encode(), mtime=0)).decode()
     return f'<!doctype html><meta charset="utf-8"><title>{title}</title><script id="data" type="application/gzip">{packed}</script>'
+
+
+@F.pandas_udf(T.StringType())
+def data_pages(payload: pd.Series) -> pd.Series:
+    """K3 as a column function of JSON texts; nulls give null."""
+    return payload.map(lambda p: None if p is None else data_page(json.loads(p), "data"))
