@@ -106,6 +106,11 @@ def aligned(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([[{"i": i, "j": j} for i, j in align([] if x is None else list(x), [] if y is None else list(y))] for x, y in zip(a, b)])
 
 
+def spread(pages: DataFrame, key: list[str]) -> DataFrame:
+    """`pages` in as many partitions as a shuffle has: few bytes of them are much work, so they are not to be coalesced by size."""
+    return pages.repartition(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), *key)
+
+
 def projected(pairs: DataFrame, key: list[str]) -> DataFrame:
     """(key, at, word, inserted) of `pairs`(key, n, i, j, word): the other reading at each position of the backbone.
 

@@ -76,7 +76,8 @@ def arbitrated(pages: DataFrame, lexicon_words: DataFrame, key: list[str]) -> Da
     A page is aligned at a time; everything else is joined by key and place.
     """
     readers = pages.select(*key, "backbone", F.posexplode("others").alias("r", "o")).select(*key, "backbone", "r", F.col("o.by").alias("by"), F.col("o.words").alias("words"))
-    pairs = readers.select(*key, "r", "by", "words", F.posexplode(alignment.aligned("backbone", "words")).alias("n", "p")).select(*key, "r", "by", "n", F.col("p.i").alias("i"), F.col("p.j").alias("j"), F.expr("get(words, p.j)").alias("word"))
+    named = alignment.spread(readers, [*key, "r"]).select(*key, "r", "by", "words", alignment.aligned("backbone", "words").alias("p")).select(*key, "r", "by", F.expr("transform(p, x -> struct(x.i as i, x.j as j, get(words, x.j) as word))").alias("p"))
+    pairs = named.select(*key, "r", "by", F.posexplode("p").alias("n", "p")).select(*key, "r", "by", "n", "p.*")
     placed = cut(alignment.projected(pairs, [*key, "r", "by"]))
     base = pages.select(*key, F.col("by").alias("witness"), "opens", F.posexplode("backbone").alias("at", "form"))
     own = base.select(*key, "at", F.lit(0).alias("n"), "form", "witness")

@@ -355,8 +355,10 @@ def _aligned(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _align_pages(spark: SparkSession, d: str) -> DataFrame:
-    pages = _page_words(spark, d)
-    return pages.select("volume", "page", "read", "layer", F.posexplode(alignment.aligned("read", "layer")).alias("n", "p")).select("volume", "page", "n", F.col("p.i").alias("i"), F.col("p.j").alias("j"), F.expr("get(`read`, p.i)").alias("own"), F.expr("get(layer, p.j)").alias("word"))
+    # the words are taken inside the array, so that no exploded row carries its page's arrays
+    pairs = alignment.spread(_page_words(spark, d), ["volume", "page"]).select("volume", "page", "read", "layer", alignment.aligned("read", "layer").alias("p"))
+    named = pairs.select("volume", "page", F.expr("transform(p, x -> struct(x.i as i, x.j as j, get(`read`, x.i) as own, get(layer, x.j) as word))").alias("p"))
+    return named.select("volume", "page", F.posexplode("p").alias("n", "p")).select("volume", "page", "n", "p.*")
 
 
 @register()

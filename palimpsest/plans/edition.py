@@ -101,7 +101,7 @@ def ref_J18_inverse(spark: SparkSession, d: str) -> DataFrame:
     """The place in the lines of every word of the arbitrated text, by aligning the two again."""
     words = _arbitrated(spark, d).groupBy(*PAGE).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "part", "n", "form"))), lambda s: s["form"]).alias("words"))
     pages = _reading_pages(spark, d).select(*PAGE, "backbone").join(words, PAGE)
-    pairs = pages.select(*PAGE, F.explode(alignment.aligned("words", "backbone")).alias("p"))
+    pairs = alignment.spread(pages, PAGE).select(*PAGE, alignment.aligned("words", "backbone").alias("p")).select(*PAGE, F.explode("p").alias("p"))
     return pairs.where("p.i is not null").select(*PAGE, F.col("p.i").alias("at"), F.col("p.j").alias("place"))
 
 
