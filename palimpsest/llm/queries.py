@@ -307,7 +307,7 @@ b AS (SELECT doc_id, text, greatest(length(text), 1) AS n,
   list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS l FROM documents),
 h AS (SELECT doc_id, count(*) AS hits FROM (SELECT doc_id, unnest(w) AS x FROM b) WHERE lower(x) IN (SELECT word FROM c) GROUP BY doc_id)
 SELECT doc_id, len(w)::DOUBLE AS words,
-  round(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) / greatest(len(w), 1), 6) AS mean_word_length,
+  CASE WHEN text IS NOT NULL THEN round(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) / greatest(len(w), 1), 6) END AS mean_word_length,
   round(length(regexp_replace(text, '[\p{L}\p{M}\p{N}\s]', '', 'g')) / n, 6) AS symbol_ratio,
   round(len(list_filter(l, lambda x: regexp_matches(x, '[.!?…׃。！？؟۔።:;]["''”“’»)\]]*\s*$'))) / greatest(len(l), 1), 6) AS punctuated_lines,
   CASE WHEN text IS NOT NULL THEN round(coalesce(hits, 0) / greatest(len(w), 1), 6) END AS common_words
