@@ -49,3 +49,20 @@ def test_repairs_accept_prefixed_words_and_two_letters(spark):
     forms = spark.createDataFrame([("ושלוםהדבר",)], "word string")
     assert [tuple(r) for r in repair.splits(forms, seams, lex).collect()] == [("ושלוםהדבר", "ושלום", "הדבר")]
     assert {tuple(r) for r in repair.fixed_point(words, table, lex, lex).select("word", "fixed", "protected").collect()} == {("וסלום", "ושלום", False), ("סלזם", "שלום", False), ("סלום", "שלום", True)}
+
+
+def gold(spark, folder):
+    """Two passages of one text, one that shares a stretch with them and stands between them, one alone, and a null text."""
+    shared, alone = LETTERS[:14], LETTERS[::-1]
+    rows = [(1, "x " + shared), (2, shared + " z"), (3, "x " + shared), (4, alone), (5, None)]
+    return written(spark, folder, gold=(rows, "gold_id long, text string"))
+
+
+def broadcasts(frame):
+    return frame._jdf.queryExecution().executedPlan().toString().count("BroadcastHashJoin")
+
+
+def test_seeds_are_not_broadcast_and_equal_texts_pair(spark, tmp_path):
+    pairs = catalogue.QUERIES["ref_J1_seed_pairs"](spark, gold(spark, tmp_path))
+    assert broadcasts(pairs) == 0
+    assert {tuple(r) for r in pairs.collect()} == {(1, 2, 3), (1, 3, 3), (2, 3, 3)}
