@@ -66,3 +66,8 @@ def test_seeds_are_not_broadcast_and_equal_texts_pair(spark, tmp_path):
     pairs = catalogue.QUERIES["ref_J1_seed_pairs"](spark, gold(spark, tmp_path))
     assert broadcasts(pairs) == 0
     assert {tuple(r) for r in pairs.collect()} == {(1, 2, 3), (1, 3, 3), (2, 3, 3)}
+
+
+def test_anchors_of_pages_beyond_21474(spark, tmp_path):
+    d = written(spark, tmp_path, units=([("V", 1, 21475, 3), ("V", 1, 80000, 1), ("V", 2, 90000, 7)], "volume string, part_no int, page int, token_at int"))
+    assert {tuple(r) for r in catalogue.QUERIES["ref_P10_anchors"](spark, d).collect()} == {("V", 1, 2147500003), ("V", 2, 9000000007)}
