@@ -68,6 +68,20 @@ def test_seeds_are_not_broadcast_and_equal_texts_pair(spark, tmp_path):
     assert {tuple(r) for r in pairs.collect()} == {(1, 2, 3), (1, 3, 3), (2, 3, 3)}
 
 
+def test_g4_counts_every_pair_of_equal_texts_and_broadcasts_no_passage(spark, tmp_path):
+    d = gold(spark, tmp_path)
+    written(
+        spark,
+        tmp_path,
+        units=([("u", "V", 1, 1, 1, 1)], "unit_id string, volume string, part_no int, chapter int, page int, token_at int"),
+        tokens=([(1, "V", 1, 1, "אב")], "token_id long, volume string, page int, pos int, text string"),
+        corpus=([("g", "ch", "he", 1, 1, 1, "אב")], "witness string, kind string, lang string, part_no int, chapter int, para_no int, text string"),
+    )
+    assert broadcasts(catalogue._passage_pairs(spark, d, quotation.LENGTHS[0])) == 0
+    counted = {r["minlen"]: r["passages"] for r in catalogue.QUERIES["ref_G4_calibration"](spark, d).collect()}
+    assert counted == {10: 3, 11: 3, 12: 3, 13: 3, 14: 3, 16: 0}
+
+
 def test_anchors_of_pages_beyond_21474(spark, tmp_path):
     d = written(spark, tmp_path, units=([("V", 1, 21475, 3), ("V", 1, 80000, 1), ("V", 2, 90000, 7)], "volume string, part_no int, page int, token_at int"))
     assert {tuple(r) for r in catalogue.QUERIES["ref_P10_anchors"](spark, d).collect()} == {("V", 1, 2147500003), ("V", 2, 9000000007)}
