@@ -68,6 +68,14 @@ def test_seeds_are_not_broadcast_and_equal_texts_pair(spark, tmp_path):
     assert {tuple(r) for r in pairs.collect()} == {(1, 2, 3), (1, 3, 3), (2, 3, 3)}
 
 
+def test_texts_of_passages_are_not_broadcast_and_equal_texts_quote_each_other(spark, tmp_path):
+    d = gold(spark, tmp_path)
+    for name in ("ref_J1_quotations",):
+        spans = catalogue.QUERIES[name](spark, d)
+        assert broadcasts(spans) == 0
+        assert {tuple(r) for r in spans.collect()} == {(1, 2, 2, 16, 0, 14), (1, 3, 2, 16, 2, 16), (2, 3, 0, 14, 2, 16)}
+
+
 def test_g4_counts_every_pair_of_equal_texts_and_broadcasts_no_passage(spark, tmp_path):
     d = gold(spark, tmp_path)
     written(
